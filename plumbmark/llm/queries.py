@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbmark.llm import chat_format, hash_tree
+from plumbmark.llm import chat_format, feistel_pii, hash_tree, merge_replay, window_decontam
 
-MODULES = [hash_tree, chat_format]
+MODULES = [merge_replay, window_decontam, hash_tree, chat_format, feistel_pii]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
