@@ -54,18 +54,17 @@ def normal_gap(a: Column, b: Column) -> Column:
     return F.try_divide(across, length(a))
 
 
-def longer_first(a: Column, b: Column) -> tuple[Column, Column]:
-    """The longer of two segments (a, if they tie) and the other."""
-    swap = length(b) > length(a)
-    return F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
-
-
-def overlap(long_: Column, short: Column) -> Column:
-    """How much of the shorter segment lies beside the longer, from 0 to 1."""
-    size = length(long_)
-    on = lambda k: F.try_divide((short[f"x{k}"] - long_["x1"]) * dx(long_) + (short[f"y{k}"] - long_["y1"]) * dy(long_), size)
-    shared = F.least(F.greatest(on(1), on(2)), size) - F.greatest(F.least(on(1), on(2)), F.lit(0.0))
-    return F.coalesce(F.greatest(F.try_divide(shared, length(short)), F.lit(0.0)), F.lit(0.0))
+def overlap(a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
+    """How much of the shorter segment lies beside the longer (a, if they tie), from 0 to 1. Null if either has no length.
+
+    The lengths are passed in, as columns of their own, so that the join's condition stays small enough to be compiled.
+    """
+
+    def shared(s: Column, size: Column, t: Column) -> Column:
+        at = [((t[f"x{k}"] - s["x1"]) * dx(s) + (t[f"y{k}"] - s["y1"]) * dy(s)) / F.nullif(size, F.lit(0.0)) for k in (1, 2)]
+        return F.least(F.greatest(*at), size) - F.greatest(F.least(*at), F.lit(0.0))
+
+    return F.greatest(F.when(size_b > size_a, shared(b, size_b, a) / F.nullif(size_a, F.lit(0.0))).otherwise(shared(a, size_a, b) / F.nullif(size_b, F.lit(0.0))), F.lit(0.0))
 
 
 def inside(x: Column, y: Column, points: Column) -> Column:

@@ -24,6 +24,7 @@ def segment(x1="x1", y1="y1", x2="x2", y2="y2") -> Column:
 def _binned(lines: DataFrame, idx: str, degrees: float) -> DataFrame:
     own = lines.select("drawing_id", F.col(idx).alias("idx"), segment().alias("s"))
     own = own.withColumn("angle", G.angle(F.col("s")))
+    own = own.withColumn("size", G.length(F.col("s")))
     return own.withColumn("bin", F.least(F.floor(F.col("angle") / degrees), F.lit(int(180 // degrees) - 1)).cast("int"))
 
 
@@ -31,8 +32,8 @@ def _near_directions(lines: DataFrame, idx: str, degrees: float) -> DataFrame:
     """All ordered pairs (a, b) of different lines of a drawing whose directions differ by at most degrees."""
     bins = int(180 // degrees)
     left = _binned(lines, idx, degrees)
-    right = left.select("drawing_id", F.col("idx").alias("idx_b"), F.col("s").alias("b"), F.col("angle").alias("angle_b"), F.explode(F.array_distinct(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.pmod(F.col("bin") + k, F.lit(bins))))).alias("bin"))
-    pairs = left.select("drawing_id", F.col("idx").alias("idx_a"), F.col("s").alias("a"), F.col("angle").alias("angle_a"), "bin").join(right, ["drawing_id", "bin"])
+    right = left.select("drawing_id", F.col("idx").alias("idx_b"), F.col("s").alias("b"), F.col("angle").alias("angle_b"), F.col("size").alias("size_b"), F.explode(F.array_distinct(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.pmod(F.col("bin") + k, F.lit(bins))))).alias("bin"))
+    pairs = left.select("drawing_id", F.col("idx").alias("idx_a"), F.col("s").alias("a"), F.col("angle").alias("angle_a"), F.col("size").alias("size_a"), "bin").join(right, ["drawing_id", "bin"])
     return pairs.where((F.col("idx_a") != F.col("idx_b")) & (G.angle_gap(F.col("angle_a"), F.col("angle_b")) <= degrees)).drop("bin")
 
 
@@ -40,10 +41,9 @@ def wall_edges(lines: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Directed pairs of lines that may be the two faces of a wall: drawing_id, line_a, line_b, gap (of b's middle from a), overlap, length_a."""
     pairs = _near_directions(lines, "line_idx", p.angle)
     a, b = F.col("a"), F.col("b")
-    found = pairs.withColumn("gap", G.from_line(G.mid_x(b), G.mid_y(b), a)).where(F.col("gap").between(*p.wall_gap))
-    long_, short = G.longer_first(a, b)
-    found = found.withColumns({"long": long_, "short": short}).withColumn("overlap", G.overlap(F.col("long"), F.col("short"))).where(F.col("overlap") >= p.wall_overlap)
-    return found.select("drawing_id", F.col("idx_a").alias("line_a"), F.col("idx_b").alias("line_b"), "gap", "overlap", G.length(a).alias("length_a"), G.length(b).alias("length_b"), G.angle_gap(F.col("angle_a"), F.col("angle_b")).alias("angle_gap"))
+    across = F.abs(G.dy(a) * G.mid_x(b) - G.dx(a) * G.mid_y(b) + a["x2"] * a["y1"] - a["y2"] * a["x1"]) / F.nullif(F.col("size_a"), F.lit(0.0))
+    found = pairs.withColumn("gap", across).where(F.col("gap").between(*p.wall_gap)).withColumn("overlap", G.overlap(a, b, F.col("size_a"), F.col("size_b"))).where(F.col("overlap") >= p.wall_overlap)
+    return found.select("drawing_id", F.col("idx_a").alias("line_a"), F.col("idx_b").alias("line_b"), "gap", "overlap", F.col("size_a").alias("length_a"), F.col("size_b").alias("length_b"), G.angle_gap(F.col("angle_a"), F.col("angle_b")).alias("angle_gap"))
 
 
 def match_walls(edges: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def safe_stem(spark, sf_dir):
 
 def infer_extension(spark, sf_dir):
     kind = F.when(F.col("page_id") % 5 == 0, "image/PNG").when(F.col("page_id") % 5 == 1, "image/jpeg; q=1").when(F.col("page_id") % 5 == 2, "application/pdf")
-    url = F.when(F.col("page_id") % 7 == 0, F.concat("url", F.lit("/plan.JPEG?x=1.pdf"))).otherwise(F.col("url"))
+    url = F.when(F.col("page_id") % 7 == 0, F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/plan.JPEG?x=1.pdf"))).otherwise(F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", X.infer_extension(url, kind).alias("ext"))
 
 
