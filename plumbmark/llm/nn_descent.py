@@ -33,7 +33,7 @@ from plumbmark.session import table
 NEIGHBOURS, SAMPLE, ROUNDS, TELL = 32, 32, 3, 10
 TREES, LEAF = 6, 512
 BUCKET = 4000
-BEAM, EXPAND, STEPS = 96, 24, 4
+BEAM, EXPAND, STEPS = 192, 48, 4
 EVERY, NEAREST = 50, 5
 
 GRAPH = "bucket int, ids binary, vecs binary, nbrs binary, sims binary"
