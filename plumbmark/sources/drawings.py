@@ -11,11 +11,11 @@ FORMATS = {"png": "png", "jpg": "jpg", "jpeg": "jpg", "pdf": "pdf"}
 
 
 def ingest(spark: SparkSession, path: str, with_content: bool = False) -> DataFrame:
-    """drawing_id, path, source_format, length, error of the files below a path; contents are read only if asked for."""
+    """drawing_id, path, source_format, length, error of the files below a path; contents are read only if asked for. Empty files are left out by the reader."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv]), suffix)
-    rows = files.withColumn("source_format", kind).withColumn("error", F.when(F.col("source_format").isNull(), F.concat(F.lit("unsupported: ."), suffix)).when(F.col("length") == 0, "empty file"))
+    rows = files.withColumn("source_format", kind).withColumn("error", F.when(F.col("source_format").isNull(), F.concat(F.lit("unsupported: ."), suffix)))
     return rows.select(stem(F.col("path")).alias("drawing_id"), "path", "source_format", "length", "error", *(["content"] if with_content else []))
 
 

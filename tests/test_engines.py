@@ -140,8 +140,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.PNG").write_bytes(b"x")
     (tmp_path / "in/b.svg").write_bytes(b"x")
-    (tmp_path / "in/c.pdf").write_bytes(b"")
-    assert {r.drawing_id: r.error for r in drawings.ingest(spark, str(tmp_path / "in")).collect()} == {"a": None, "b": "unsupported: .svg", "c": "empty file"}
+    (tmp_path / "in/c.pdf").write_bytes(b"x")
+    assert {r.drawing_id: r.error for r in drawings.ingest(spark, str(tmp_path / "in")).collect()} == {"a": None, "b": "unsupported: .svg", "c": None}
     ocr = spark.createDataFrame([("d", '{"res":{"rec_texts":["a","b"],"rec_scores":[0.5],"dt_polys":[[[1,2],[3,4]]]}}')], "drawing_id string, json string")
     assert [(r.text, len(r.quad), r.char_conf) for r in parsed.recognized_texts(ocr).collect()] == [("a", 2, 0.5), ("b", 0, 0.0)]
     body = '{"query":{"pages":{"1":{"title":"File:A.png","imageinfo":[{"url":"u","extmetadata":{"License":{"value":""},"LicenseShortName":{"value":"cc0"},"Artist":{"value":"<i>x</i>"}}}]},"2":{"title":"B"}}}}'
