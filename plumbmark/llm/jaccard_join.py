@@ -148,7 +148,10 @@ def _read_bucket(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _lists(percent: int):
-    """For each bucket: links to try first (a, b), and the distinct lists of nodes, as (list, node, n) rows."""
+    """For each bucket: links to try first (member a, smallest node b), and the lists of three nodes and more, as (list, a, n) rows.
+
+    A link of a pair that is no longer list is tried in any case; of the others, which lists look after, a few a member do.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         token, node, n = _read_bucket(table)
@@ -159,24 +162,25 @@ def _lists(percent: int):
             names = mix(total[edges[1:]] - total[edges[:-1]] + sizes.astype(np.uint64)) if len(sizes) else np.zeros(0, np.uint64)
         long_ = np.flatnonzero(sizes > 1)
         _, once = np.unique(names[long_], return_index=True)
-        heads, tails, own, nodes, ns = [], [], [], [], []
+        own, nodes, ns = [], [], []
+        links: dict[bool, list] = {True: [], False: []}  # by whether the list is kept too
         for i in long_[np.sort(once)]:
             v, m = node[edges[i] : edges[i + 1]], n[edges[i] : edges[i + 1]]
-            at = 0
+            at, listed = 0, len(v) > 2
             while at < len(v):  # a band: sizes that the smallest one's size allows
                 to = int(np.searchsorted(m, m[at] * 100 // percent, side="right"))
-                heads.append(np.full(to - at - 1, v[at]))
-                tails.append(v[at + 1 : to])
+                links[listed].append(np.stack([v[at + 1 : to], np.full(to - at - 1, v[at])], axis=1))
                 at = to
-            if len(v) > 2 or len(heads[-1]) == 0:
-                own.append(np.full(len(v), names[i].view(np.int64) if hasattr(names[i], "view") else names[i]))
+            if listed:
+                own.append(np.full(len(v), names[i : i + 1].view(np.int64)[0]))
                 nodes.append(v)
                 ns.append(m)
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        a, b = cat(heads), cat(tails)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        k, r = len(pairs), sum(map(len, nodes))
-        return pa.table({"list": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(cat(own).astype(np.int64))]), "a": pa.array(np.concatenate([pairs[:, 0], cat(nodes)]).astype(np.int64)), "b": pa.concat_arrays([pa.array(pairs[:, 1].astype(np.int64)), pa.nulls(r, pa.int64())]), "n": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(cat(ns).astype(np.int64))])})
+        pairs = {k: np.unique(np.concatenate([np.zeros((0, 2), np.int64), *x]), axis=0) for k, x in links.items()}
+        both = np.concatenate([pairs[False], pairs[True]])
+        k, r = len(both), sum(map(len, nodes))
+        kind = pa.array([False] * len(pairs[False]) + [True] * len(pairs[True]) + [None] * r, pa.bool_())
+        return pa.table({"list": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(cat(own).astype(np.int64))]), "a": pa.array(np.concatenate([both[:, 0], cat(nodes)]).astype(np.int64)), "b": pa.concat_arrays([pa.array(both[:, 1].astype(np.int64)), pa.nulls(r, pa.int64())]), "n": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(cat(ns).astype(np.int64))]), "listed": kind})
 
     return run
 
@@ -284,8 +288,11 @@ def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     buckets = max(8, -(-amount // BUCKET))
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
     posted = _postings(docs, ranks, buckets, size, percent).repartition(partitions, "bucket")
-    tried = keep(posted.groupBy("bucket").applyInArrow(lambda t: _lists(percent)(t), "list long, a long, b long, n long"), path, "lists")
-    pairs = tried.where("list IS NULL").select("a", "b").distinct()
+    tried = keep(posted.groupBy("bucket").applyInArrow(lambda t: _lists(percent)(t), "list long, a long, b long, n long, listed boolean"), path, "lists")
+    # of the links to smallest nodes, two a member: they join most of a group, and what they leave the lists' tiles find
+    first_two = tried.where("listed").groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
+    links = tried.where("NOT listed").select("a", "b").unionByName(first_two)
+    pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     lists = tried.where("list IS NOT NULL").select("list", F.col("a").alias("node"), "n").distinct()
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(lists.select("node")).distinct()
     reps = rows.where("n > 0").join(involved, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL")
