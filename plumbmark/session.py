@@ -25,3 +25,12 @@ def build_session(app: str = "plumbmark", cores: int | str = "*", partitions: in
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; Spark's reader opens it, so the folder may be in any store."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import the library from where the driver did, whatever the folder they start in. A cluster takes --py-files as well."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
