@@ -150,7 +150,7 @@ def _read_bucket(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _lists(percent: int):
     """For each bucket: links to try first (member a, smallest node b), and the lists of three nodes and more, as (list, a, n) rows.
 
-    A link of a pair that is no longer list is tried in any case; of the others, which lists look after, a few a member do.
+    A list of two is its link; what the links of a longer list leave apart, its tiles look at again.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -289,9 +289,7 @@ def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
     posted = _postings(docs, ranks, buckets, size, percent).repartition(partitions, "bucket")
     tried = keep(posted.groupBy("bucket").applyInArrow(lambda t: _lists(percent)(t), "list long, a long, b long, n long, listed boolean"), path, "lists")
-    # of the links to smallest nodes, two a member: they join most of a group, and what they leave the lists' tiles find
-    first_two = tried.where("listed").groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
-    links = tried.where("NOT listed").select("a", "b").unionByName(first_two)
+    links = tried.where("list IS NULL").select("a", "b")
     pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     lists = tried.where("list IS NOT NULL").select("list", F.col("a").alias("node"), "n").distinct()
     involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(lists.select("node")).distinct()
