@@ -6,8 +6,9 @@
    n - ceil(t n) + 1 shingles of each, so these alone are posted, in packed blocks by bucket of shingles.
 3. In a bucket, the nodes of one shingle, sorted by size, form size-banded tiles: nodes may link only if their sizes allow
    the similarity. First each band is compared with its smallest node only. Then, in the lists that still
-   hold nodes of several components, all pairs of different components in a tile are compared. No pair inside a component is
-   looked at again, so groups of near copies cost their size, not its square, and yet no component is missed.
+   hold nodes of several components, the pairs of different components in a tile are compared. A tile with few
+   pairs that may link returns them; a dense one is compared in its task, where what links is one component from there on, and
+   no pair inside a component is looked at again. So tiles return rows in proportion to their nodes, and yet no component is missed.
 4. A comparison: parity bitmaps of the hashed shingles. The number of bits in which they differ is at most the
    symmetric difference, so it bounds the intersection from above. What passes is intersected exactly, as sorted arrays.
 
@@ -40,6 +41,10 @@ COUNTERS, BLOCK = 1 << 18, 1 << 12
 LEAST_BITS = 256
 #: Posted shingles of a bucket, about, and of a block that a task sends at a time.
 BUCKET, FLUSH = 400_000, 2_000_000
+#: A part of a list, about: longer lists are compared part by part, so that a tile holds two such parts at most.
+TILE_SHINGLES, TILE_NODES = 2_000_000, 16_384
+#: A tile with more pairs to compare for each node is compared in its task; else its pairs are joined with the sets.
+DENSE = 4
 
 
 def shingle_sets(words, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -237,9 +242,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("shingles_a"), batch.column("shingles_b"), strict=True):
-                u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(100 * both >= percent * (len(u) + len(v) - both))
+                ok.append(_alike(*(np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y)), percent))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     near = pairs.join(side(signs, "a"), "a").join(side(signs, "b"), "b").mapInArrow(bounded, "a long, b long")
@@ -247,18 +250,28 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(side(whole, "b"), "b").join(side(whole, "a"), "a").select("a", "b", "shingles_a", "shingles_b").mapInArrow(alike, "a long, b long")
 
 
-def _tiles(percent: int):
-    """The pairs of a list whose components differ, whose sizes allow it and whose bitmaps do."""
+def _alike(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return 100 * both >= percent * (len(u) + len(v) - both)
 
-    def run(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table["node"].to_numpy(), table["n"].to_numpy()))
-        node, n, comp = (table[c].to_numpy()[order] for c in ("node", "n", "component"))
-        maps = [table["bitmap"][int(i)].as_py() for i in order]
+
+def _open_pairs(table: pa.Table, percent: int):
+    """comp and a generator of (i, others): pairs of rows of a tile whose components differ when asked, whose sizes allow a link and whose bitmaps do.
+
+    A tile is a part of a list compared with itself, or two parts (i < j) compared with each other. Rows come by size; comp may change meanwhile.
+    """
+    n, part, comp = (table[c].to_numpy() for c in ("n", "part", "component"))
+    comp, across = comp.copy(), table["i"][0].as_py() != table["j"][0].as_py()
+    maps = [x.as_buffer() for x in table["bitmap"]]
+
+    def pairs():
         folded: dict[int, np.ndarray] = {}
-        a, b = [], []
-        for i in range(len(node)):
+        for i in range(len(n)):
             to = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-            other = i + 1 + np.flatnonzero(comp[i + 1 : to] != comp[i])
+            open_ = comp[i + 1 : to] != comp[i]
+            if across:
+                open_ &= part[i + 1 : to] != part[i]
+            other = i + 1 + np.flatnonzero(open_)
             if not len(other):
                 continue
             k = len(maps[i])
@@ -266,11 +279,49 @@ def _tiles(percent: int):
                 folded = {k: np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, k), axis=0) if len(x) >= k else np.zeros(k, np.uint8) for x in maps])}
             bits = np.bitwise_count(folded[k][other] ^ folded[k][i]).sum(axis=1, dtype=np.int64)
             most = (n[i] + n[other] - bits) // 2
-            other = other[100 * most >= percent * (n[i] + n[other] - most)]
-            a.append(np.full(len(other), node[i]))
-            b.append(node[other])
-        x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b))
-        return pa.table({"a": pa.array(np.minimum(x, y).astype(np.int64)), "b": pa.array(np.maximum(x, y).astype(np.int64))})
+            yield i, other[100 * most >= percent * (n[i] + n[other] - most)]
+
+    return comp, pairs()
+
+
+def _candidates(percent: int):
+    """The pairs (a, b) of a tile that may link; of a tile with more than `DENSE` pairs for each node, those nodes instead (b is null), with what `_tiles` reads."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n", "ascending"), ("node", "ascending")])
+        node, a, b, found, touched = table["node"].to_numpy(), [], [], 0, np.zeros(len(table), bool)
+        for i, other in _open_pairs(table, percent)[1]:
+            touched[other] = True
+            touched[i] |= len(other) > 0
+            found += len(other)
+            if found <= DENSE * len(node):
+                a.append(np.minimum(node[i], node[other]))
+                b.append(np.maximum(node[i], node[other]))
+        rest = ["list", "i", "j", "part", "n", "component"]
+        if found > DENSE * len(node):
+            dense = table.filter(pa.array(touched))
+            return pa.table({"a": dense["node"], "b": pa.nulls(len(dense), pa.int64()), **{c: dense[c] for c in rest}})
+        x, y = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (a, b))
+        return pa.table({"a": pa.array(x), "b": pa.array(y), **{c: pa.nulls(len(x), table.schema.field(c).type) for c in rest}})
+
+    return run
+
+
+def _tiles(percent: int):
+    """Links between the components of a dense tile, as few as join what its nodes' links join: once two components are one, no pair of them is looked at."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n", "ascending"), ("node", "ascending")])
+        node, links = table["node"].to_numpy(), []
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"]]
+        comp, pairs = _open_pairs(table, percent)
+        for i, other in pairs:
+            for j in other:
+                if comp[j] != comp[i] and _alike(sets[i], sets[j], percent):
+                    links.append((min(node[i], node[j]), max(node[i], node[j])))
+                    comp[comp == comp[j]] = comp[i]
+        found = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     return run
 
@@ -298,10 +349,16 @@ def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFram
     edges = keep(_linked(pairs, sets, percent), path, "edges-1")
     comps = keep(components(edges, path, "round-1"), path, "components-1")
     labelled = lists.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("list")
-    tiles = labelled.join(open_, "list", "left_semi").join(sets.select("node", "bitmap"), "node")
-    more = tiles.groupBy("list").applyInArrow(lambda t: _tiles(percent)(t), "a long, b long").distinct()
-    edges_2 = keep(_linked(more, sets, percent), path, "edges-2")
+    parts = F.greatest(F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_NODES)).cast("int")
+    open_ = labelled.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), parts.alias("parts")).where("x <> y").select("list", "parts")
+    placed = labelled.join(open_, "list").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("list", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "component")
+    tiles = placed.join(sets.select("node", "bitmap"), "node")
+    kinds = "a long, b long, list long, i int, j int, part int, n long, component long"
+    found = keep(tiles.groupBy("list", "i", "j").applyInArrow(lambda t: _candidates(percent)(t), kinds), path, "candidates")
+    dense = found.where("b IS NULL").drop("b").withColumnRenamed("a", "node").join(sets.select("node", "bitmap", "shingles"), "node")
+    linked = dense.groupBy("list", "i", "j").applyInArrow(lambda t: _tiles(percent)(t), "a long, b long")
+    edges_2 = keep(_linked(found.where("b IS NOT NULL").select("a", "b").distinct(), sets, percent).unionByName(linked), path, "edges-2")
     last = keep(components(edges.unionByName(edges_2), path, "round-2"), path, "components-2")
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     grouped = least.join(last, "node", "left").withColumn("component", F.coalesce("component", "node"))

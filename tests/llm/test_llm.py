@@ -169,6 +169,22 @@ def test_jaccard(spark, docs, odd):
     assert jaccard_join.one_each(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("dense", [0, 4])
+def test_jaccard_parts(spark, monkeypatch, dense):
+    """Variants of one text, in lists longer than a tile's part, compared in the tiles' tasks or not."""
+    monkeypatch.setattr(jaccard_join, "TILE_NODES", 4)
+    monkeypatch.setattr(jaccard_join, "DENSE", dense)
+    texts = {}
+    for i in range(60):
+        words = [f"w{k}" for k in range(80)]
+        for k in range(i % 7):
+            words[(11 * i + 13 * k) % 80] = f"x{i % 9}-{k}"
+        texts[i] = " ".join(words[: 80 - i % 5])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = jaccard_join.brute_force(texts)
+    assert len({c for _, c in want.values()}) > 2 and got == want
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges, scratch.folder(spark), "t").collect()}
