@@ -22,6 +22,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -30,9 +31,9 @@ from plumbmark.session import table
 #: The vocabulary that op2 uses, in the package of public tokenizers.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words (and as many pieces) kept from batch to batch in each of two generations; a word that falls out is replayed anew.
-CACHE = 250_000
+CACHE = 100_000
 #: Texts taken at a time, in characters; a longer text is taken alone.
-TEXTS = 4 << 20
+TEXTS = 1 << 20
 
 
 class Pairs(dict):
@@ -77,7 +78,11 @@ class Vocabulary:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
-        self.pairs = Pairs(ranks, self.tokens)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops what was learned: a worker that waits for its next task holds the vocabulary only."""
+        self.pairs = Pairs(self.ranks, self.tokens)
         self.pieces, self.words, self.heads = Generations(CACHE), Generations(CACHE), Generations(CACHE)
 
     @staticmethod
@@ -162,7 +167,7 @@ class Vocabulary:
         self.learn(cut)
         known = self.pieces.young
         cache.young.update(dict.fromkeys(fresh))
-        cache.young.update((w, tuple([i for p in pieces for i in known[p]])) for w, pieces in zip(plain, cut, strict=True))
+        cache.young.update((w, known[pieces[0]] if len(pieces) == 1 else tuple([i for p in pieces for i in known[p]])) for w, pieces in zip(plain, cut, strict=True))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text.
@@ -205,16 +210,17 @@ def public(name: str = VOCABULARY) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
-def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    at, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        if held and size + len(text or "") > TEXTS:
-            yield at, held
-            at, held, size = i, [], 0
-        held.append(text or "")
-        size += len(text or "")
-    if held:
-        yield at, held
+def _groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about TEXTS characters, null ones as empty, with the place of the first. Only one run is taken out of Arrow at a time."""
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+    at, size = 0, 0
+    for i, more in enumerate(sizes.tolist()):
+        if i > at and size + more > TEXTS:
+            yield at, [text or "" for text in texts.slice(at, i - at).to_pylist()]
+            at, size = i, 0
+        size += more
+    if at < len(texts):
+        yield at, [text or "" for text in texts.slice(at).to_pylist()]
 
 
 def encode(docs: DataFrame, text: str = "text", name: str = VOCABULARY, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -226,14 +232,17 @@ def encode(docs: DataFrame, text: str = "text", name: str = VOCABULARY, path: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path, pattern) if path else vocabulary(*public(name))
-        for batch in batches:
-            for at, texts in _groups(batch.column(column).to_pylist()):
-                ids = own.encode(texts)
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=offsets[1:])
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
-                part = batch.slice(at, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, flat)], names=[*keep, "ids"])
+        try:
+            for batch in batches:
+                for at, texts in _groups(batch.column(column)):
+                    ids = own.encode(texts)
+                    offsets = np.zeros(len(ids) + 1, np.int32)
+                    np.cumsum([len(x) for x in ids], out=offsets[1:])
+                    flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
+                    part = batch.slice(at, len(texts))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, flat)], names=[*keep, "ids"])
+        finally:
+            own.forget()
 
     return docs.mapInArrow(run, schema)
 
@@ -261,14 +270,17 @@ def digests(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(*public(name))
-        for batch in batches:
-            out: list[tuple[int, str, str]] = []
-            for _, texts in _groups(batch.column(1).to_pylist()):
-                for ids in own.encode(texts):
-                    joined = ",".join(map(str, ids)).encode()
-                    out.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
-            n, a, b = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                out: list[tuple[int, str, str]] = []
+                for _, texts in _groups(batch.column(1)):
+                    for ids in own.encode(texts):
+                        joined = ",".join(map(str, ids)).encode()
+                        out.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
+                n, a, b = zip(*out, strict=True) if out else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            own.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
