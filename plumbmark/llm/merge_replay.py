@@ -31,7 +31,7 @@ from plumbmark.session import table
 #: The vocabulary that op2 uses, in the package of public tokenizers.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words (and as many pieces) kept from batch to batch in each of two generations; a word that falls out is replayed anew.
-CACHE = 100_000
+CACHE = 250_000
 #: Texts taken at a time, in characters; a longer text is taken alone.
 TEXTS = 1 << 20
 
