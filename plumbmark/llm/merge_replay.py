@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +77,9 @@ class Vocabulary:
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        self.double = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int32)
+        self.double[self.single < 0] = self.double[:, self.single < 0] = -1
         self.forget()
 
     def forget(self) -> None:
@@ -94,54 +96,61 @@ class Vocabulary:
     def replay(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each piece. One list holds the tokens of all pieces; -1 marks where a piece ends."""
         done: list[tuple[int, ...]] = [()] * len(pieces)
-        token: list[int] = []
-        spans = []
-        single, pairs = self.single, self.pairs
+        rest, spans, n = [], [], 0
         for i, piece in enumerate(pieces):
             whole = self.ranks.get(piece)
             if whole is not None:
                 done[i] = (whole,)
             elif piece:
-                spans.append((i, len(token), len(token) + len(piece)))
-                token += [single[b] for b in piece]
-                token.append(-1)
-        n = len(token)
+                spans.append((i, n, n + len(piece)))
+                rest.append(piece)
+                n += len(piece) + 1
+        if not spans:
+            return done
+        pairs = self.pairs
+        raw = np.frombuffer(b"\0".join([*rest, b""]), np.uint8)
+        ends = np.array([end for _, _, end in spans])
+        first, ranks = self.single[raw], np.full(n, -1, np.int32)
+        ranks[:-1] = self.double[raw[:-1], raw[1:]]
+        first[ends] = ranks[ends] = ranks[ends - 1] = -1
+        token, made = first.tolist(), ranks.tolist()  # made: the rank of the pair that begins here
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}  # rank of a pair -> positions of its left token
-        a = -1
-        for at, b in enumerate(token):
-            if a >= 0 and b >= 0 and (rank := pairs[a << 24 | b]) >= 0:
-                if rank in index:
-                    index[rank].append(at - 1)
-                else:
-                    index[rank] = [at - 1]
-            a = b
-        queue = list(index)
-        heapify(queue)
+        # rank of a pair -> positions of its left token
+        at = np.flatnonzero(ranks >= 0)
+        at = at[np.argsort(ranks[at], kind="stable")]
+        queue, starts = (x.tolist() for x in np.unique(ranks[at], return_index=True))
+        places = at.tolist()
+        index = {rank: places[i:j] for rank, i, j in zip(queue, starts, [*starts[1:], len(places)], strict=False)}
         while queue:
             rank = heappop(queue)
             for at in sorted(index.pop(rank)):
                 # within a word, a pair that a merge makes may rank lower than the merge: it goes first. Its turn can't
                 # wait for the queue, which may hold this rank again further right in the same word.
-                now, own = rank, []
+                now, own = rank, None
                 while True:
-                    after = right[at]
                     # else a neighbour's merge took one of the two
-                    if (a := token[at]) >= 0 and (b := token[after]) >= 0 and pairs[a << 24 | b] == now:
-                        token[at], token[after] = now, -2
+                    if made[at] == now:
+                        after = right[at]
+                        token[at], token[after], made[after] = now, -2, -1
                         behind, before = right[after], left[at]
                         right[at] = behind
                         left[behind] = at
-                        if (b := token[behind]) >= 0 and (new := pairs[now << 24 | b]) >= 0:
+                        made[at] = new = pairs[now << 24 | b] if (b := token[behind]) >= 0 else -1
+                        if new >= 0:
                             if new < rank:
+                                own = own or []
                                 heappush(own, (new, at))
                             elif new in index:
                                 index[new].append(at)
                             else:
                                 index[new] = [at]
                                 heappush(queue, new)
-                        if before >= 0 and (a := token[before]) >= 0 and (new := pairs[a << 24 | now]) >= 0:
-                            if new < rank:
+                        if before >= 0 and (a := token[before]) >= 0:
+                            made[before] = new = pairs[a << 24 | now]
+                            if new < 0:
+                                pass
+                            elif new < rank:
+                                own = own or []
                                 heappush(own, (new, before))
                             elif new in index:
                                 index[new].append(before)
@@ -166,7 +175,8 @@ class Vocabulary:
         cut = [self.pattern.findall(before + w) for w in plain]
         self.learn(cut)
         known = self.pieces.young
-        cache.young.update(dict.fromkeys(fresh))
+        if len(plain) < len(fresh):
+            cache.young.update(dict.fromkeys(fresh))
         cache.young.update((w, known[pieces[0]] if len(pieces) == 1 else tuple([i for p in pieces for i in known[p]])) for w, pieces in zip(plain, cut, strict=True))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
