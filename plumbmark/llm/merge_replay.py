@@ -16,9 +16,11 @@ but for `ids`, which is replaced. Ids not in the vocabulary raise an error.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from plumbmark.session import table
 #: The vocabulary that op2 uses, in the package of public tokenizers.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Words (and as many pieces) kept from batch to batch in each of two generations; a word that falls out is replayed anew.
-CACHE = 250_000
+CACHE = 500_000
 #: Texts taken at a time, in characters; a longer text is taken alone.
 TEXTS = 1 << 20
 
@@ -77,6 +79,7 @@ class Vocabulary:
 
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.names = {rank: str(rank) for rank in self.tokens}
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.double = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int32)
         self.double[self.single < 0] = self.double[:, self.single < 0] = -1
@@ -197,7 +200,7 @@ class Vocabulary:
             self.learn(whole)
             for k, pieces in zip(odd, whole, strict=True):
                 parts[k] = [self.pieces.young[p] for p in pieces]
-        return [[i for part in found for i in part] for found in parts]
+        return [list(chain.from_iterable(found)) for found in parts]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -242,6 +245,7 @@ def encode(docs: DataFrame, text: str = "text", name: str = VOCABULARY, path: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path, pattern) if path else vocabulary(*public(name))
+        gc.disable()  # nothing here refers to itself, and each collection walks the caches
         try:
             for batch in batches:
                 for at, texts in _groups(batch.column(column)):
@@ -253,6 +257,7 @@ def encode(docs: DataFrame, text: str = "text", name: str = VOCABULARY, path: st
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, flat)], names=[*keep, "ids"])
         finally:
             own.forget()
+            gc.enable()
 
     return docs.mapInArrow(run, schema)
 
@@ -280,17 +285,19 @@ def digests(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(*public(name))
+        gc.disable()  # nothing here refers to itself, and each collection walks the caches
         try:
             for batch in batches:
                 out: list[tuple[int, str, str]] = []
                 for _, texts in _groups(batch.column(1)):
                     for ids in own.encode(texts):
-                        joined = ",".join(map(str, ids)).encode()
+                        joined = ",".join(map(own.names.__getitem__, ids)).encode()
                         out.append((len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
                 n, a, b = zip(*out, strict=True) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         finally:
             own.forget()
+            gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
