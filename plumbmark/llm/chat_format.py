@@ -100,8 +100,9 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def conversation_log(conversations: DataFrame) -> DataFrame:
-    """A finished conversation as its log: one message event for each row, rows of one turn apart by role and text."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.struct("turn", "role", "text").alias("message"), "role", "text")
+    """A finished conversation as its log: one message event for each row. A message is the row's place in its conversation, so repeated rows stay apart."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("user")), F.coalesce("text", F.lit(""))))
+    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), place.alias("message"), "role", "text")
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,20 @@ def test_chat(spark):
     assert chat_format.render(chat_format.reconstruct(log.limit(0))).count() == 0
 
 
+def test_chat_repeated_rows(spark, tmp_path):
+    """Rows that repeat exactly are turns of their own, as in the query's SQL."""
+    import duckdb
+
+    rows = [(1, 0, "user", "same"), (1, 0, "user", "same"), (1, 1, "assistant", "yes <|"), (1, 1, "assistant", "yes <|"), (1, 1, "assistant", "yes <|"), (1, 2, "user", None), (1, 2, "user", None), (2, 0, "assistant", "z"), (2, 0, None, "a"), (2, 0, None, "a")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(chat_format.ORACLES["op7_chat_formatting"]).df()
+    got = queries.QUERIES["op7_chat_formatting"](spark, str(tmp_path)).toPandas()[list(want.columns)]
+    assert got[got.conv_id == 1].n_turns.tolist() == [7]
+    assert sorted(map(str, got.itertuples(index=False, name=None))) == sorted(map(str, want.itertuples(index=False, name=None)))
+
+
 def test_jaccard(spark, docs, odd):
     rng = random.Random(3)
     base = [f"w{i}" for i in range(60)]
