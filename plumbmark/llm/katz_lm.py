@@ -1,21 +1,23 @@
 """Language-model scoring: a Katz backoff model, its counts and its scores computed in partitioned tables.
 
-Words with at least one in `SHARE` of the training tokens, and two occurrences, are the vocabulary, so there are at most `SHARE` of
-them; all other words make one open class. The model is a bigram model over vocabulary and class,
+Every word of the training texts has its own unigrams, bigrams and trigrams; none is cut off. The model is
 
-    p(w | h) = d(r) r / (c(h) + 1)                if h w was seen r times, d being Katz's Good-Turing discounts
-             = alpha(h) p(w)                      otherwise, alpha(h) = (1 - sum of the seen) / (1 - sum of p over the seen)
+    p(w | u v) = d3(r) r / (c(u v) + 1)              if u v w was seen r times, d being Katz's Good-Turing discounts, by order
+               = alpha(u v) p(w | v)                 otherwise, alpha(h) = (1 - sum of the seen) / (1 - sum of one order less over the seen)
 
-times, for a word of the open class, its share of the class. Unigrams are discounted in the same way; the mass left, and one
-count added to every denominator, is the probability of the unknown word, so each distribution adds up to 1 over all
-known words and the unknown one. A text starts after a start symbol and ends with an end token.
+and so on for p(w | v), whose seen pairs have d2, down to unigrams; alpha is 1 for a history never seen. Unigrams are discounted in the
+same way; the mass left, and one count added to every denominator, is the probability of the unknown word, so each distribution adds up
+to 1 over all known words and the unknown one. A text starts after a start symbol (its first word has a bigram only) and ends with an
+end token.
 
 1. Words are counted over all training texts; the counts are a written table.
-2. One pass turns texts into blocks of bigrams and of rare words by bucket: distinct keys, how often they occur, and in
-   which document of the block. The blocks are a written table, partitioned work from here on. A frequent history is split
-   over buckets by its share of the tokens, so that no bucket holds a hot one whole.
-3. The keys alone are shuffled to count counts and to sum what each history has seen: one row a history and bucket.
-4. The blocks are shuffled to their buckets, where every key's count gives its probability; sums go back by document.
+2. One pass turns texts into blocks: distinct words, and every token as its place among them, a written table. The words are sent to
+   where their counts are, and the counts come back.
+3. A block's distinct trigrams, with the counts of their last two words, how often they train, and in which document of the block they
+   occur, go to the bucket of the second-last word, one written row a bucket. A frequent word is split over buckets by its share of
+   the tokens, so that no bucket holds a hot one whole. So the counts of a bigram and of all trigrams that end in it are in one bucket.
+4. One pass gives the counts of counts; one gives the parts of the histories that are split over buckets, which are summed up.
+5. Every trigram's counts give its probability where it lies; sums go back by document.
 
 Defined results: a null or empty text is its end token alone; repeated rows train and score once each; without any training
 text the unknown word has probability 1; extra columns are not read. fold says which rows do not train.
@@ -36,8 +38,10 @@ from plumbmark.llm.labelled import fold
 from plumbmark.llm.scratch import folder, keep
 from plumbmark.session import table
 
-SHARE, DISCOUNTED = 1_000_000, 5
-END = 0x0123456789ABCDEF
+DISCOUNTED = 5
+END, START, NONE = 0x0123456789ABCDEF, 0x0FEDCBA987654321, -1
+#: Of a bucket's row, one entry a block; sorted by the two words, then by the word before them.
+GRAMS = ("block", "before", "first", "second", "n_first", "n_second", "train", "runs", "places")
 #: Tokens of a bucket, about; bytes of text and rows of a block.
 BUCKET, BLOCK_BYTES, BLOCK_ROWS = 3_000_000, 12 << 20, 30_000
 #: Held-out documents of a block are numbered from here.
@@ -93,112 +97,52 @@ def discounts(of: dict[int, int], k: int = DISCOUNTED) -> np.ndarray:
 
 
 @dataclass
-class Unigrams:
-    """The vocabulary, sorted by hash, with counts; ids are places in it, then the open class, then the start."""
+class Model:
+    """What every task needs of the counts: a few numbers, none of them by word."""
 
-    words: np.ndarray
-    counts: np.ndarray
     total: int
     types: int
     texts: int
-    discount: np.ndarray
-    rare_mass: float = 0.0  # of the known words outside the vocabulary
+    buckets: int
+    discount: list[np.ndarray]  # by order, as far as they are known
+    hot: dict[int, tuple[float, float]]  # histories split over buckets: what their seen words took, and these words' unigram mass
+    unknown: float = 1.0
 
-    @property
-    def rare(self) -> int:
-        return len(self.words)
+    def discounted(self, order: int, c: np.ndarray) -> np.ndarray:
+        d = np.concatenate([[0.0], self.discount[order - 1], [1.0]])
+        return d[np.minimum(c, DISCOUNTED + 1)] * c
 
-    @property
-    def start(self) -> int:
-        return len(self.words) + 1
+    def unigram(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, self.discounted(1, c) / (self.total + 1), self.unknown)
 
-    def discounted(self, c: np.ndarray) -> np.ndarray:
-        """The probability of a known word of count c."""
-        d = np.concatenate([[0.0], self.discount, [1.0]])
-        return d[np.minimum(c, DISCOUNTED + 1)] * c / (self.total + 1)
+    def share(self, c: np.ndarray) -> np.ndarray:
+        """Over how many buckets a history of count c is split."""
+        return np.maximum(1, np.ceil(c / max(self.total, 1) * self.buckets * 2)).astype(np.int64)
 
-    def probabilities(self) -> np.ndarray:
-        """By id: of the vocabulary, and of the open class whole."""
-        p = self.discounted(self.counts)
-        return np.concatenate([p, [max(1 - p.sum(), 1e-300)]])
 
-    def histories(self) -> np.ndarray:
-        """How often each id was a history: as often as it stood before something."""
-        return np.concatenate([self.counts, [self.total - self.counts.sum(), self.texts]])
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.full(len(hashes), self.rare)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, self.rare)
-
-
-def _blocks(docs: DataFrame, uni: Unigrams, buckets: int) -> DataFrame:
-    """bucket, block, keys, runs, train, places; and, with bucket -1, the documents of a block with what needs no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(uni)
-    schema = "bucket int, block binary, keys binary, runs binary, train binary, places binary, doc_ids array<long>, held array<boolean>, tokens array<long>, known array<long>, base array<double>"
+def _blocks(docs: DataFrame) -> DataFrame:
+    """block, words (distinct hashes, ascending), tokens (places in words), sizes, and the documents of a block."""
+    schema = "block binary, words binary, tokens binary, sizes binary, doc_ids array<long>, held array<boolean>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
-        u, names = sent.value, [x.split()[0] for x in schema.split(", ")]
-        share = np.maximum(1, np.ceil(u.histories() / max(u.total, 1) * buckets * 2)).astype(np.int64)
-        size = u.start + 1
-        log_base = np.log10((u.counts + 1) / (u.total + u.types + 1))
-
         def flush(parts):
-            block = os.urandom(12)
-            held = np.concatenate([x[3] for x in parts])
-            hashes = np.concatenate([x[0] for x in parts])
-            sizes = np.concatenate([np.diff(x[1]) for x in parts])
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            ids = u.ids(hashes)
-            before = np.empty(len(ids), np.int64)
-            before[1:] = ids[:-1]
-            before[bounds[:-1]] = u.start
-            known = ids != u.rare
-            with np.errstate(over="ignore"):
-                salt = mix(ids.astype(np.uint64)) % share[before].astype(np.uint64)
-                bucket = (mix(before.astype(np.uint64) * np.uint64(0x9E3779B1) + salt * np.uint64(0x85EBCA6B4F)) % np.uint64(buckets)).astype(np.int64)
-            key = before * size + ids
-            rare = ~known
-            place = (of + HELD * held[of]).astype(np.uint16)
-            # rare words: their hash, below zero
-            key = np.concatenate([key, -1 - hashes[rare]])
-            bucket = np.concatenate([bucket, (mix(hashes[rare].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)])
-            place = np.concatenate([place, place[rare]])
-            order = np.lexsort((key, bucket))
-            key, bucket, place = key[order], bucket[order], place[order]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            rows = {n: [] for n in names[:6]}
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                k, p = key[i:j], place[i:j]
-                first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                runs = np.diff(np.concatenate([first, [j - i]]))
-                train = np.add.reduceat((p < HELD).astype(np.int64), first)
-                rows["bucket"].append(int(bucket[i]))
-                rows["block"].append(block)
-                rows["keys"].append(_pack(np.diff(k[first], prepend=0)))
-                rows["runs"].append(_pack(runs.astype(np.uint32)))
-                rows["train"].append(_pack(train.astype(np.uint32)))
-                rows["places"].append(_pack(p))
-            n = len(rows["bucket"])
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *[pa.array(rows[c], pa.binary()) for c in names[1:6]], pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.bool_())), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.float64()))], names=names)
-            base = np.bincount(of[known], log_base[ids[known]], len(sizes)) if len(u.words) else np.zeros(len(sizes))
-            doc_ids = pa.chunked_array([x[2] for x in parts]).combine_chunks()
-            lists = [doc_ids, pa.array(held), pa.array(sizes.astype(np.int64)), pa.array(np.bincount(of[known], minlength=len(sizes)).astype(np.int64)), pa.array(base.astype(np.float64))]
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([block], pa.binary()), *[pa.nulls(1, pa.binary())] * 4, *[pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), x) for x in lists]], names=names)
+            words, tokens = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+            sizes, ids = np.concatenate([np.diff(x[1]) for x in parts]), pa.chunked_array([x[2] for x in parts]).combine_chunks()
+            held = pa.array(np.concatenate([x[3] for x in parts]))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), x) for x in (ids, held)]
+            packed = [os.urandom(12), _pack(np.diff(words, prepend=0)), _pack(tokens.astype(np.uint32)), _pack(sizes.astype(np.uint32))]
+            return pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in packed], *lists], names=[x.split()[0] for x in schema.split(", ")])
 
         parts, amount, rows = [], 0, 0
         for batch in batches:
             for at, to, words in slices(batch.column(1), SPACES):
+                hashes, bounds = _tokens(words)
                 for a in range(0, to - at, BLOCK_ROWS):
                     b = min(to - at, a + BLOCK_ROWS)
-                    hashes, bounds = _tokens(words)
                     if parts and (amount > BLOCK_BYTES or rows + b - a > BLOCK_ROWS):
-                        yield from flush(parts)
+                        yield flush(parts)
                         parts, amount, rows = [], 0, 0
                     own = batch.column(0).slice(at + a, b - a)
                     held = batch.column(2).slice(at + a, b - a).to_numpy(zero_copy_only=False).astype(bool)
@@ -206,7 +150,7 @@ def _blocks(docs: DataFrame, uni: Unigrams, buckets: int) -> DataFrame:
                     amount += int(words.offsets[b] - words.offsets[a])
                     rows += b - a
         if parts:
-            yield from flush(parts)
+            yield flush(parts)
 
     return docs.select("doc_id", "text", "held").mapInArrow(run, schema)
 
@@ -220,97 +164,214 @@ def _unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[4:], n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
-def _by_key(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, their counts, where each key is among them)."""
-    u, at = np.unique(keys, return_inverse=True)
-    return u, np.bincount(at, train, len(u)).astype(np.int64), at
+def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(a.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)).view(np.int64)
 
 
-def _seen(size: int, p: np.ndarray):
-    """history, n (its continuations by count, 1 to DISCOUNTED), more (the sum of larger counts), mass (of the seen, one level down)."""
+def _counted(blocks: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+    """block, words, n: the training count of each word of each block, in parts."""
 
-    def run(t: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.cumsum(_unpack(x, np.int64)) for x in t["keys"].to_pylist()])
-        train = np.concatenate([_unpack(x, np.uint32) for x in t["train"].to_pylist()])
-        big = keys >= 0
-        u, c, _ = _by_key(keys[big], train[big])
-        u, c = u[c > 0], c[c > 0]
-        h, at = np.unique(u // size, return_inverse=True)
-        by = [np.bincount(at, c == r, len(h)).astype(np.int64) for r in range(1, DISCOUNTED + 2)]  # the last only counts counts
-        more = np.bincount(at, np.where(c > DISCOUNTED, c, 0), len(h)).astype(np.int64)
-        return pa.table({"history": pa.array(h.astype(np.int64)), **{f"n{r}": pa.array(by[r - 1]) for r in range(1, DISCOUNTED + 2)}, "more": pa.array(more), "mass": pa.array(np.bincount(at, p[u % size], len(h)).astype(np.float64))})
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = np.cumsum(_unpack(words, np.int64))
+                of = w % buckets
+                found = [(int(b), w[of == b]) for b in np.unique(of)]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([block] * len(found), pa.binary()), pa.array([_pack(np.diff(x, prepend=0)) for _, x in found], pa.binary())], names=["bucket", "block", "words"])
+
+    def answered(asks: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("word")
+        w, n, out = known["word"].to_numpy(), known["n"].to_numpy(), []
+        for words in asks["words"].to_pylist():
+            own = np.cumsum(_unpack(words, np.int64))
+            at = np.minimum(np.searchsorted(w, own), max(len(w) - 1, 0))
+            out.append(_pack(np.where(w[at] == own, n[at], 0) if len(w) else np.zeros(len(own), np.int64)))
+        return pa.table({"block": asks["block"], "words": asks["words"], "n": pa.array(out, pa.binary())})
+
+    asks = blocks.select("block", "words").mapInArrow(asked, "bucket int, block binary, words binary")
+    known = counts.withColumn("bucket", (F.col("word") % buckets).cast("int"))
+    return asks.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda a, b: answered(a, b), "block binary, words binary, n binary")
+
+
+def _grams(model: Model):
+    """A block's distinct trigrams by bucket: the words, the counts of the last two, how often they train and occur, and where."""
+
+    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        row = {c: docs[c][0].as_py() for c in ("block", "words", "tokens", "sizes")}
+        words, at, sizes = np.cumsum(_unpack(row["words"], np.int64)), _unpack(row["tokens"], np.uint32).astype(np.int64), _unpack(row["sizes"], np.uint32).astype(np.int64)
+        n = np.zeros(len(words) + 2, np.int64)
+        for w, c in zip(counts["words"].to_pylist(), counts["n"].to_pylist(), strict=True):
+            n[np.searchsorted(words, np.cumsum(_unpack(w, np.int64)))] = _unpack(c, np.int64)
+        none, start = len(words), len(words) + 1
+        n[start] = model.texts
+        words = np.concatenate([words, [NONE, START]])
+        begin = np.cumsum(sizes) - sizes
+        first, before = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        first[1:] = at[:-1]
+        first[begin] = start
+        before[1:] = first[:-1]
+        before[begin] = none
+        held = docs["held"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        of = np.arange(len(sizes)) + HELD * held
+        place = np.repeat(of, sizes).astype(np.uint16)
+        with np.errstate(over="ignore"):
+            salt = mix(words.astype(np.uint64))[at] % model.share(n)[first].astype(np.uint64)
+            bucket = (_hash(words[first], salt).view(np.uint64) % np.uint64(model.buckets)).astype(np.int64)
+        pair = first * len(words) + at
+        order = np.lexsort((before, pair, bucket))
+        before, first, at, pair, bucket, place = (x[order] for x in (before, first, at, pair, bucket, place))
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        out = {c: [] for c in ("bucket", *GRAMS)}
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            p, b = pair[i:j], before[i:j]
+            new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (b[1:] != b[:-1])]))
+            u, v, w = before[i:j][new], first[i:j][new], at[i:j][new]
+            train = np.add.reduceat((place[i:j] < HELD).astype(np.int64), new)
+            out["bucket"].append(int(bucket[i]))
+            out["block"].append(row["block"])
+            for c, x in (("before", words[u]), ("first", np.diff(words[v], prepend=0)), ("second", np.diff(words[w], prepend=0)), ("n_first", n[v]), ("n_second", n[w]), ("train", train.astype(np.uint32)), ("runs", np.diff(np.append(new, j - i)).astype(np.uint32)), ("places", place[i:j])):
+                out[c].append(_pack(x))
+        return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in GRAMS}})
 
     return run
 
 
-@dataclass
-class Backoff:
-    discount: np.ndarray
-    log_alpha: np.ndarray  # by history id
-
-
-def _backoff(blocks: DataFrame, uni: Unigrams, partitions: int) -> Backoff:
-    size, p = uni.start + 1, uni.probabilities()
-    cols = [f"n{r}" for r in range(1, DISCOUNTED + 2)] + ["more"]
-    schema = "history long, " + ", ".join(f"{c} long" for c in cols) + ", mass double"
-    keys = blocks.where("bucket >= 0").select("bucket", "keys", "train").repartition(partitions, "bucket")
-    seen = keys.groupBy("bucket").applyInArrow(lambda t: _seen(size, p)(t), schema).groupBy("history").agg(*[F.sum(c).alias(c) for c in [*cols, "mass"]])
-    rows = seen.toArrow()  # one a history: the vocabulary and two more at most
-    n = np.stack([rows[f"n{r}"].to_numpy() for r in range(1, DISCOUNTED + 2)]) if len(rows) else np.zeros((DISCOUNTED + 1, 0))
-    d = discounts({r: int(n[r - 1].sum()) for r in range(1, DISCOUNTED + 2)})
-    alpha = np.ones(size)
-    if len(rows):
-        h = rows["history"].to_numpy()
-        took = sum(d[r - 1] * r * n[r - 1] for r in range(1, DISCOUNTED + 1)) + rows["more"].to_numpy()
-        alpha[h] = (1 - took / (uni.histories()[h] + 1)) / np.maximum(1 - rows["mass"].to_numpy(), 1e-12)
-    return Backoff(d, np.log10(np.maximum(alpha, 1e-300)))
-
-
-def _scores(uni: Unigrams, back: Backoff):
+class Bucket:
+    """The trigrams of a bucket's row: counts of the distinct ones, and where each block's entries are among them."""
+
+    def __init__(self, lists: dict[str, list[bytes]], model: Model):
+        # the differences wrap around, as the sums do
+        u = np.concatenate([_unpack(x, np.int64) for x in lists["before"]])
+        v, w = (np.concatenate([np.cumsum(_unpack(x, np.int64)) for x in lists[c]]) for c in ("first", "second"))
+        train = np.concatenate([_unpack(x, np.uint32) for x in lists["train"]]).astype(np.int64)
+        n_first, n_second = (np.concatenate([_unpack(x, np.int64) for x in lists[c]]) for c in ("n_first", "n_second"))
+        history, pair = _hash(u, v), _hash(v, w)
+        _, one, self.at = np.unique(_hash(history, w), return_index=True, return_inverse=True)
+        self.three = np.bincount(self.at, train, len(one)).astype(np.int64)
+        # a text's first word has no trigram
+        self.whole = u[one] != NONE
+        pairs, first, at = np.unique(pair[one], return_index=True, return_inverse=True)
+        self.two_of = np.bincount(at, self.three, len(pairs)).astype(np.int64)
+        self.two, self.one_of_pair = self.two_of[at], first
+        self.three[~self.whole] = 0
+        self.v, self.n_first, self.n_second, self.history = v[one], n_first[one], n_second[one], history[one]
+        self.split = model.share(self.n_first) > 1
+
+    def words_seen(self, model: Model):
+        """(histories of one word, where each pair's is, took, mass, split) over the pairs seen."""
+        one = self.one_of_pair
+        h, first, at = np.unique(self.v[one], return_index=True, return_inverse=True)
+        seen = self.two_of > 0
+        took = np.bincount(at, model.discounted(2, self.two_of), len(h))
+        mass = np.bincount(at, np.where(seen, model.unigram(self.n_second[one]), 0.0), len(h))
+        return h, took, mass, self.split[one][first]
+
+    def pairs_seen(self, model: Model):
+        """(histories of two words, where each trigram's is, n, took, mass, split) over the trigrams seen."""
+        h, first, at = np.unique(self.history, return_index=True, return_inverse=True)
+        seen = self.three > 0
+        n = np.bincount(at, self.three, len(h))
+        took = np.bincount(at, model.discounted(3, self.three), len(h))
+        mass = np.bincount(at, np.where(seen, model.discounted(2, self.two) / (self.n_first + 1.0), 0.0), len(h))
+        return h, at, n, took, mass, self.split[first]
+
+
+def _rows(batch) -> Iterator[tuple[int, dict[str, list[bytes]]]]:
+    for row in range(batch.num_rows):
+        one = batch.slice(row, 1).to_pylist()[0]
+        yield one["bucket"], one
+
+
+def _counts_of_counts(grams: DataFrame, model: Model) -> list[np.ndarray]:
+    """The discounts of pairs and of trigrams."""
+    names = [f"{k}{r}" for k in ("two", "three") for r in range(1, DISCOUNTED + 2)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, lists in _rows(batch):
+                b = Bucket(lists, model)
+                of = [np.bincount(np.minimum(x, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2] for x in (b.two_of, b.three)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in np.concatenate(of)], names=names)
+
+    row = grams.mapInArrow(run, ", ".join(f"{c} long" for c in names)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    return [discounts({r: int(row[f"{k}{r}"]) for r in range(1, DISCOUNTED + 2)}) for k in ("two", "three")]
+
+
+def _split_histories(grams: DataFrame, model: Model) -> DataFrame:
+    """bucket, pair (of two words, or one), history, n, took, mass: a bucket's part of the histories that are split over buckets."""
+    names = ["bucket", "pair", "history", "n", "took", "mass"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, lists in _rows(batch):
+                b = Bucket(lists, model)
+                h, took, mass, split = b.words_seen(model)
+                h2, _, n2, took2, mass2, split2 = b.pairs_seen(model)
+                for pair, cols, use in ((False, (h, np.zeros(len(h)), took, mass), split & (took > 0)), (True, (h2, n2, took2, mass2), split2)):
+                    k = int(use.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, bucket, np.int32)), pa.array(np.full(k, pair)), *[pa.array(x[use]) for x in cols]], names=names)
+
+    return grams.mapInArrow(run, "bucket int, pair boolean, history long, n double, took double, mass double")
+
+
+def _log_alpha(took, n, mass):
+    return np.log10(np.maximum((1 - took / (n + 1.0)) / np.maximum(1 - mass, 1e-12), 1e-300))
+
+
+def _scores(model: Model):
     """block, places, score, base, known: the sums of a bucket for each document of each block."""
-    size, p, before = uni.start + 1, uni.probabilities(), uni.histories() + 1.0
-    d = np.concatenate([[0.0], back.discount, [1.0]])
-
-    def run(t: pa.Table) -> pa.Table:
-        parts = [(np.cumsum(_unpack(k, np.int64)), _unpack(r, np.uint32), _unpack(n, np.uint32), _unpack(x, np.uint16)) for k, r, n, x in zip(*(t[c].to_pylist() for c in ("keys", "runs", "train", "places")), strict=True)]
-        keys = np.concatenate([x[0] for x in parts])
-        u, c, at = _by_key(keys, np.concatenate([x[2] for x in parts]))
-        score, base, known = np.zeros(len(u)), np.zeros(len(u)), np.zeros(len(u))
-        pair = u >= 0
-        h, w, r = u[pair] // size, u[pair] % size, c[pair]
-        seen = d[np.minimum(r, DISCOUNTED + 1)] * r / before[h]
-        score[pair] = np.where(r > 0, np.log10(np.where(r > 0, seen, 1.0)), back.log_alpha[h] + np.log10(p[w]))
-        r = c[~pair]
-        unknown = max(1 - uni.discounted(uni.counts).sum() - uni.rare_mass, 1e-300)
-        score[~pair] = np.log10(np.where(r > 0, uni.discounted(r), unknown) / p[uni.rare])
-        base[~pair] = np.log10((r + 1) / (uni.total + uni.types + 1))
-        known[~pair] = r > 0
-        out, lo = {k: [] for k in ("places", "score", "base", "known")}, 0
-        for _, runs, _, places in parts:
-            own = np.repeat(at[lo : lo + len(runs)], runs)
-            lo += len(runs)
-            doc, of = np.unique(places, return_inverse=True)
-            out["places"].append(doc.tobytes())
-            for name, v, kind in (("score", score, np.float64), ("base", base, np.float64), ("known", known, np.uint32)):
-                out[name].append(pa.compress(np.bincount(of, v[own], len(doc)).astype(kind).tobytes(), codec="zstd", asbytes=True))
-        return pa.table({"block": t["block"], **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
+
+    def run(t: pa.Table, split: pa.Table) -> pa.Table:
+        lists = {c: [] for c in GRAMS}
+        for row in t.to_pylist():
+            for c in GRAMS:
+                lists[c] += row[c]
+        out = {k: [] for k in ("places", "score", "base", "known")}
+        if lists["block"]:
+            b = Bucket(lists, model)
+            h, took, mass, _ = b.words_seen(model)
+            at = np.searchsorted(h, b.v)
+            took, mass = took[at], mass[at]
+            for word, sums in model.hot.items():
+                i = np.searchsorted(h, word)
+                if i < len(h) and h[i] == word:
+                    took[at == i], mass[at == i] = sums
+            low = _log_alpha(took, b.n_first, mass) + np.log10(model.unigram(b.n_second))
+            mid = np.where(b.two > 0, np.log10(np.where(b.two > 0, model.discounted(2, b.two) / (b.n_first + 1.0), 1.0)), low)
+            h, at, n, took, mass, _ = b.pairs_seen(model)
+            if len(split):
+                own = np.searchsorted(h, split["history"].to_numpy())
+                n[own], took[own], mass[own] = (split[c].to_numpy() for c in ("n", "took", "mass"))
+            top = np.log10(np.where(b.three > 0, model.discounted(3, b.three) / (n[at] + 1.0), 1.0))
+            score = np.where(b.three > 0, top, np.where(b.whole, _log_alpha(took, n, mass)[at], 0.0) + mid)
+            base, known, lo = np.log10((b.n_second + 1) / (model.total + model.types + 1)), b.n_second > 0, 0
+            for runs, places in zip(lists["runs"], lists["places"], strict=True):
+                runs, places = _unpack(runs, np.uint32), _unpack(places, np.uint16)
+                own = np.repeat(b.at[lo : lo + len(runs)], runs)
+                lo += len(runs)
+                doc, of = np.unique(places, return_inverse=True)
+                out["places"].append(doc.tobytes())
+                for name, v, kind in (("score", score, np.float64), ("base", base, np.float64), ("known", known, np.uint32)):
+                    out[name].append(pa.compress(np.bincount(of, v[own], len(doc)).astype(kind).tobytes(), codec="zstd", asbytes=True))
+        return pa.table({"block": pa.array(lists["block"], pa.binary()), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
 
     return run
 
 
 def _gather(docs: pa.Table, sums: pa.Table) -> pa.Table:
     """The rows of a block's documents, the sums of all buckets added."""
-    lists = {c: docs[c].combine_chunks().flatten() for c in ("doc_ids", "held", "tokens", "known", "base")}
-    n = len(lists["tokens"])
-    total = {"score": np.zeros(n), "base": np.zeros(n), "known": np.zeros(n)}
+    ids, held = (docs[c].combine_chunks().flatten() for c in ("doc_ids", "held"))
+    sizes = _unpack(docs["sizes"][0].as_py(), np.uint32).astype(np.int64)
+    total = {"score": np.zeros(len(sizes)), "base": np.zeros(len(sizes)), "known": np.zeros(len(sizes))}
     for row in sums.to_pylist():
         at = np.frombuffer(row["places"], np.uint16) % HELD
         for name, kind in (("score", np.float64), ("base", np.float64), ("known", np.uint32)):
             total[name][at] += np.frombuffer(pa.decompress(row[name], len(at) * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
-    return pa.table({"doc_id": lists["doc_ids"], "held_out": lists["held"], "n_tokens": lists["tokens"], "n_known": pa.array((lists["known"].to_numpy() + total["known"]).astype(np.int64)), "base_score": pa.array(lists["base"].to_numpy() + total["base"]), "score": pa.array(total["score"])})
+    return pa.table({"doc_id": ids, "held_out": held, "n_tokens": pa.array(sizes), "n_known": pa.array(total["known"].astype(np.int64)), "base_score": pa.array(total["base"]), "score": pa.array(total["score"])})
 
 
-def score(docs: DataFrame, held: Column, share: int = SHARE) -> DataFrame:
+def score(docs: DataFrame, held: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; rows where held is true don't train."""
     spark = docs.sparkSession
     path = folder(spark)
@@ -318,21 +379,28 @@ def score(docs: DataFrame, held: Column, share: int = SHARE) -> DataFrame:
     counts = keep(count_words(rows.where("NOT held")), path, "unigrams")
     head = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == END, F.col("n"))), F.lit(0)), *[F.count_if(F.col("n") == r) for r in range(1, DISCOUNTED + 2)]).first()
     total, types, texts = int(head[0]), int(head[1]), int(head[2])
-    common = counts.where((F.col("n") >= 2) & (F.col("n") * share >= total)).toArrow().sort_by("word")  # share rows at most
-    uni = Unigrams(common["word"].to_numpy().astype(np.int64), common["n"].to_numpy().astype(np.int64), total, types, texts, discounts({r: int(head[2 + r]) for r in range(1, DISCOUNTED + 2)}))
-    # what the known words outside the vocabulary have, by count: a row for each count, summed up where the counts are
-    by_count = [(r, int(head[2 + r])) for r in range(1, DISCOUNTED + 1)]
-    inside = {r: int((uni.counts == r).sum()) for r, _ in by_count}
-    low = sum((n - inside[r]) * float(uni.discounted(np.array([r]))[0]) for r, n in by_count)
-    small = sum((n - inside[r]) * r for r, n in by_count)
-    uni.rare_mass = low + (total - int(uni.counts.sum()) - small) / (total + 1)
+    by_count = {r: int(head[2 + r]) for r in range(1, DISCOUNTED + 2)}
     buckets = max(8, -(-total // BUCKET))
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
-    blocks = keep(_blocks(rows, uni, buckets), path, "blocks")
-    back = _backoff(blocks, uni, partitions)
-    work = blocks.where("bucket >= 0").select("bucket", "block", "keys", "runs", "train", "places").repartition(partitions, "bucket")
-    sums = work.groupBy("bucket").applyInArrow(lambda t: _scores(uni, back)(t), "block binary, places binary, score binary, base binary, known binary")
-    heads = blocks.where("bucket = -1").select("block", "doc_ids", "held", "tokens", "known", "base")
+    model = Model(total, types, texts, buckets, [discounts(by_count)], {})
+    low = [(r, by_count[r]) for r in range(1, DISCOUNTED + 1)]
+    known = sum(n * float(model.discounted(1, np.array([r]))[0]) for r, n in low) + total - sum(n * r for r, n in low)
+    model.unknown = max(1 - known / (total + 1), 1e-300)
+    blocks = keep(_blocks(rows), path, "blocks")
+    asked = _counted(blocks, counts, buckets)
+    schema = "bucket int, " + ", ".join(f"{c} binary" for c in GRAMS)
+    found = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda a, b: _grams(model)(a, b), schema)
+    # a row a bucket, so that the passes over it need no further shuffle
+    lists = "bucket int, " + ", ".join(f"{c} array<binary>" for c in GRAMS)
+    packed = lambda t: pa.table({"bucket": t["bucket"].slice(0, 1), **{c: pa.array([t[c].to_pylist()], pa.list_(pa.binary())) for c in GRAMS}})
+    grams = keep(found.groupBy("bucket").applyInArrow(lambda t: packed(t), lists), path, "grams")
+    model.discount += _counts_of_counts(grams, model)
+    parts = keep(_split_histories(grams, model), path, "split")
+    one = parts.where("NOT pair").groupBy("history").agg(F.sum("took").alias("took"), F.sum("mass").alias("mass"))
+    model.hot = {r.history: (r.took, r.mass) for r in one.collect()}  # fewer than two a bucket
+    two = parts.where("pair").groupBy("history").agg(*[F.sum(c).alias(c) for c in ("n", "took", "mass")], F.collect_list("bucket").alias("buckets"))
+    split = two.select(F.explode("buckets").alias("bucket"), "history", "n", "took", "mass")
+    sums = grams.groupBy("bucket").cogroup(split.groupBy("bucket")).applyInArrow(lambda a, b: _scores(model)(a, b), "block binary, places binary, score binary, base binary, known binary")
+    heads = blocks.select("block", "doc_ids", "held", "sizes")
     found = heads.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(lambda a, b: _gather(a, b), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 

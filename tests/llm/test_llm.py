@@ -1,6 +1,7 @@
 """The training-data operators on small, odd tables, against brute force."""
 
 import base64
+import functools
 import hashlib
 import random
 import re
@@ -220,6 +221,52 @@ def test_katz(spark, docs):
     assert own.score.sum() > own.base_score.sum()
 
 
+def katz_by_hand(texts, held):
+    """Scores of texts by id under the trigram model of those not held, with plain dictionaries."""
+    text = {k: words(t) + ["\0"] for k, t in texts.items()}
+    grams = [Counter(), Counter(), Counter()]
+    for k, t in text.items():
+        if not held[k]:
+            t = ["\1", *t]
+            grams[0].update(zip(t[1:]))
+            grams[1].update(zip(t, t[1:]))
+            grams[2].update(zip(t, t[1:], t[2:]))
+    total, n_texts = sum(grams[0].values()), sum(not h for h in held.values())
+    d = [katz_lm.discounts(Counter(g.values())) for g in grams]
+    less = lambda o, r: (d[o][r - 1] if r <= 5 else 1.0) * r
+    unknown = 1 - sum(less(0, r) for r in grams[0].values()) / (total + 1)
+    size = lambda h: (n_texts if h == ("\1",) else grams[len(h) - 1][h]) if h else total
+    after = [{}, {}, {}]
+    for o in (1, 2):
+        for g in grams[o]:
+            after[o].setdefault(g[:-1], []).append(g)
+
+    def p(g):
+        o = len(g) - 1
+        if grams[o][g]:
+            return less(o, grams[o][g]) / (size(g[:-1]) + 1)
+        if not o:
+            return unknown
+        seen = after[o].get(g[:-1], [])
+        return (1 - sum(map(p, seen))) / (1 - sum(p(s[1:]) for s in seen)) * p(g[1:]) if seen else p(g[1:])
+
+    p = functools.cache(p)
+    return {k: sum(np.log10(p(tuple(["\1", *t][max(0, i - 1) : i + 2]))) for i in range(len(t))) for k, t in text.items()}
+
+
+@pytest.mark.parametrize("bucket", [None, 1500])
+def test_katz_whole(spark, docs, monkeypatch, bucket):
+    """Rare words have bigrams and trigrams of their own, and histories split over buckets count as one."""
+    from plumbmark.llm.labelled import fold
+
+    if bucket:
+        monkeypatch.setattr(katz_lm, "BUCKET", bucket)
+    got = {r.doc_id: r.score for r in katz_lm.score(docs, fold(F.col("doc_id"), 7) == 2).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = katz_by_hand(texts, {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in texts})
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_katz_adds_up(spark):
     """Over one-word texts, the probabilities of all known words and the unknown one after a history add up to 1."""
     train = [(i, t, False) for i, t in enumerate(["a b a c", "a b", "b b d e f", "", None, "a a a b c c"])]
