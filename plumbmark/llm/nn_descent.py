@@ -10,6 +10,9 @@ A search starts at the query's own node. Each step expands the best nodes of the
 neighbours, in either direction, come back, and are compared with the query where they lie. Last, the cosines of what was
 found are computed in double precision from the original vectors.
 
+Nothing of this is a fixed number of times: rounds go on until the lists hardly change (`CHANGED`), and a search until its
+beam has no open node.
+
 As in the published method, a node that is near to many takes part in a round with a random sample of `SAMPLE` of the links that
 point to it; recall is measured against brute force in the tests (README has figures).
 
@@ -20,6 +23,8 @@ its rows one by one; equal vectors tie and go by vec_id; fewer candidates than a
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +35,15 @@ from plumbmark.llm.arrow_words import mix
 from plumbmark.llm.scratch import folder, keep
 from plumbmark.session import table
 
-NEIGHBOURS, SAMPLE, ROUNDS, TELL = 32, 32, 3, 10
+NEIGHBOURS, SAMPLE, TELL = 32, 32, 10
+#: Rounds end when fewer than this share of the entries of all lists are new, as in the published method.
+CHANGED = 0.001
 TREES, LEAF = 6, 512
 BUCKET = 4000
-BEAM, EXPAND, STEPS = 192, 48, 4
+BEAM, EXPAND = 192, 48
 EVERY, NEAREST = 50, 5
 
-GRAPH = "bucket int, ids binary, vecs binary, nbrs binary, sims binary"
+GRAPH = "bucket int, ids binary, vecs binary, nbrs binary, sims binary, fresh long"
 
 
 def _bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
@@ -89,7 +96,7 @@ def _unit(lists: pa.ChunkedArray, d: int) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def build(nodes: DataFrame, n: int, d: int, path: str, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> tuple[DataFrame, int]:
+def build(nodes: DataFrame, n: int, d: int, path: str, k: int = NEIGHBOURS) -> tuple[DataFrame, int]:
     """The graph of nodes (node, embedding), n of them of length d, and its number of buckets."""
     spark = nodes.sparkSession
     buckets = max(4, -(-n // BUCKET))
@@ -129,7 +136,7 @@ def build(nodes: DataFrame, n: int, d: int, path: str, k: int = NEIGHBOURS, roun
             x = _unit(pa.chunked_array([batch.column(1)]), d) if batch.num_rows else np.zeros((0, d), np.float32)
             ids, m = batch.column(0).to_numpy(), batch.num_rows
             t = _split(_bucket_of(ids, buckets), [ids, x], ["ids", "vecs"])
-            yield from t.append_column("nbrs", pa.nulls(len(t), pa.binary())).append_column("sims", pa.nulls(len(t), pa.binary())).to_batches()
+            yield from t.append_column("nbrs", pa.nulls(len(t), pa.binary())).append_column("sims", pa.nulls(len(t), pa.binary())).append_column("fresh", pa.nulls(len(t), pa.int64())).to_batches()
 
     raw = nodes.select("node", "embedding").mapInArrow(packed, GRAPH)
 
@@ -137,7 +144,7 @@ def build(nodes: DataFrame, n: int, d: int, path: str, k: int = NEIGHBOURS, roun
         ids, x = _read(t, "ids", np.int64), _read(t, "vecs", np.float32, d).reshape(-1, d)
         order = np.argsort(ids)
         none, low = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -2, np.float32)
-        return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("ids", ids[order]), ("vecs", x[order]), ("nbrs", none), ("sims", low))}})
+        return pa.table({"bucket": pa.array([t["bucket"][0].as_py()], pa.int32()), **{c: pa.array([v.tobytes()], pa.binary()) for c, v in (("ids", ids[order]), ("vecs", x[order]), ("nbrs", none), ("sims", low))}, "fresh": pa.array([0], pa.int64())})
 
     graph = keep(raw.groupBy("bucket").applyInArrow(lambda t: gather(t), GRAPH), path, "graph-raw")
 
@@ -146,8 +153,12 @@ def build(nodes: DataFrame, n: int, d: int, path: str, k: int = NEIGHBOURS, roun
         own = np.repeat(np.arange(len(ids)), k)
         ok = nbrs >= 0
         a, b, s = np.searchsorted(ids, _read(m, "a", np.int64)), _read(m, "b", np.int64), _read(m, "sim", np.float32)
+        old = nbrs.reshape(-1, k)
         nbrs, sims = _merge(np.concatenate([own[ok], a]), np.concatenate([nbrs[ok], b]), np.concatenate([sims[ok], s]), len(ids), k)
-        return pa.table({"bucket": g["bucket"], "ids": g["ids"], "vecs": g["vecs"], "nbrs": pa.array([nbrs.tobytes()], pa.binary()), "sims": pa.array([sims.tobytes()], pa.binary())})
+        was = np.sort(np.stack([own[ok], old.ravel()[ok]], axis=1).view("i8,i8").ravel())
+        now = np.stack([own[nbrs.ravel() >= 0], nbrs.ravel()[nbrs.ravel() >= 0]], axis=1).view("i8,i8").ravel()
+        fresh = len(now) - len(np.intersect1d(was, now, assume_unique=True))
+        return pa.table({"bucket": g["bucket"], "ids": g["ids"], "vecs": g["vecs"], "nbrs": pa.array([nbrs.tobytes()], pa.binary()), "sims": pa.array([sims.tobytes()], pa.binary()), "fresh": pa.array([fresh], pa.int64())})
 
     def reversed_links(batches):
         for batch in batches:
@@ -199,20 +210,23 @@ def build(nodes: DataFrame, n: int, d: int, path: str, k: int = NEIGHBOURS, roun
 
     joined = lambda g, m, f, schema: g.groupBy("bucket").cogroup(m.groupBy("bucket")).applyInArrow(lambda x, y: f(x, y), schema)
     graph = keep(joined(graph, found, merged, GRAPH), path, "graph-0")
-    for i in range(1, rounds + 1):
+    i, fresh = 0, n * k
+    while fresh >= CHANGED * n * k:
+        i += 1
         back = graph.select("bucket", "ids", "nbrs").mapInArrow(reversed_links, "bucket int, a binary, b binary")
         vectors = joined(graph, back, sent, "bucket int, a binary, b binary, vec binary")
         told = vectors.groupBy("bucket").applyInArrow(lambda t: met(t), links)
         graph = keep(joined(graph, told, merged, GRAPH), path, f"graph-{i}")
+        fresh = graph.agg(F.sum("fresh")).first()[0]
     return graph, buckets
 
 
-def search(graph: DataFrame, buckets: int, starts: DataFrame, d: int, path: str, k: int = NEIGHBOURS, beam: int = BEAM, expand: int = EXPAND, steps: int = STEPS) -> DataFrame:
+def search(graph: DataFrame, buckets: int, starts: DataFrame, d: int, path: str, k: int = NEIGHBOURS, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """query, node of what a greedy search from each start finds. starts: query (long), vec (packed unit float32), node (where it begins).
 
     Both directions of the links are followed. A query's state is a row; messages between queries and nodes are packed by bucket.
     """
-    state = "query long, vec binary, ids binary, sims binary, done binary"
+    state = "query long, vec binary, ids binary, sims binary, done binary, open boolean"
 
     def linked(batches):
         for batch in batches:
@@ -234,7 +248,7 @@ def search(graph: DataFrame, buckets: int, starts: DataFrame, d: int, path: str,
     def begin(batches):
         for batch in batches:
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([int(x).to_bytes(8, "little", signed=True) for x in batch.column(2).to_pylist()], pa.binary()), pa.array([np.float32(1).tobytes()] * n, pa.binary()), pa.array([b"\0"] * n, pa.binary())], names=["query", "vec", "ids", "sims", "done"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([int(x).to_bytes(8, "little", signed=True) for x in batch.column(2).to_pylist()], pa.binary()), pa.array([np.float32(1).tobytes()] * n, pa.binary()), pa.array([b"\0"] * n, pa.binary()), pa.array([True] * n)], names=["query", "vec", "ids", "sims", "done", "open"])
 
     def asked(batches):
         """The nodes that each query expands next, by bucket."""
@@ -282,10 +296,13 @@ def search(graph: DataFrame, buckets: int, starts: DataFrame, d: int, path: str,
         first[1:] = ids[order][1:] != ids[order][:-1]
         order = order[first]
         order = order[np.lexsort((ids[order], -sims[order]))][:beam]
-        return pa.table({"query": s["query"], "vec": s["vec"], **{c: pa.array([v[order].tobytes()], pa.binary()) for c, v in (("ids", ids), ("sims", sims), ("done", done))}})
+        return pa.table({"query": s["query"], "vec": s["vec"], **{c: pa.array([v[order].tobytes()], pa.binary()) for c, v in (("ids", ids), ("sims", sims), ("done", done))}, "open": pa.array([bool((done[order] == 0).any())])})
 
     own = keep(starts.select("query", "vec", "node").mapInArrow(begin, state), path, "beam-0")
-    for i in range(1, steps + 1):
+    i, ended = 0, []
+    # searches whose beam has no open node are over, and leave
+    while not own.isEmpty():
+        i += 1
         ask = own.select("query", "ids", "done").mapInArrow(asked, "bucket int, query binary, node binary")
         reply = both.groupBy("bucket").cogroup(ask.groupBy("bucket")).applyInArrow(lambda x, y: answered(x, y), "bucket int, query binary, node binary")
         # a query's vector goes once to each bucket that has a candidate
@@ -293,6 +310,8 @@ def search(graph: DataFrame, buckets: int, starts: DataFrame, d: int, path: str,
         work = reply.select("bucket", "query", "node", F.lit(None).cast("long").alias("own"), F.lit(None).cast("binary").alias("vec")).unionByName(vectors.select("bucket", F.lit(None).cast("binary").alias("query"), F.lit(None).cast("binary").alias("node"), "own", "vec"))
         seen = graph.select("bucket", "ids", "vecs").groupBy("bucket").cogroup(work.groupBy("bucket")).applyInArrow(lambda x, y: compared(x, y), "query long, ids binary, sims binary")
         own = keep(own.groupBy("query").cogroup(seen.groupBy("query")).applyInArrow(lambda x, y: absorbed(x, y), state), path, f"beam-{i}")
+        ended.append(own.where("NOT open"))
+        own = own.where("open")
 
     def unpacked(batches):
         for batch in batches:
@@ -300,7 +319,7 @@ def search(graph: DataFrame, buckets: int, starts: DataFrame, d: int, path: str,
                 v = np.frombuffer(ids, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), q)), pa.array(v)], names=["query", "node"])
 
-    return own.select("query", "ids").mapInArrow(unpacked, "query long, node long")
+    return reduce(DataFrame.unionAll, [x.select("query", "ids") for x in [*ended, own]]).mapInArrow(unpacked, "query long, node long")
 
 
 def cosine(a, b):

@@ -117,6 +117,20 @@ def test_neighbours(spark):
     assert nn_descent.nearest(few, F.col("vec_id") == 0).count() == 2 and nn_descent.nearest(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_until_done(spark):
+    """A search goes on until its beam has no open node; rounds go on until lists hardly change."""
+    n, k, path = 12, 2, scratch.folder(spark)
+    x = np.stack([np.cos(np.arange(n) / 8), np.sin(np.arange(n) / 8)], axis=1).astype(np.float32)
+    chain = np.array([[i - 1, i + 1 if i + 1 < n else -1] for i in range(n)])
+    graph = spark.createDataFrame([(0, np.arange(n).tobytes(), x.tobytes(), chain.tobytes(), np.zeros((n, k), np.float32).tobytes())], "bucket int, ids binary, vecs binary, nbrs binary, sims binary")
+    start = spark.createDataFrame([(5, x[-1].tobytes(), 0)], "query long, vec binary, node long")
+    assert {r.node for r in nn_descent.search(graph, 1, start, 2, path, k=k).collect()} == set(range(n))
+    x = np.random.default_rng(5).normal(size=(2500, 24))
+    nodes = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "node long, embedding array<double>")
+    graph, _ = nn_descent.build(nodes, len(x), 24, path)
+    assert graph.agg(F.sum("fresh")).first()[0] < nn_descent.CHANGED * len(x) * nn_descent.NEIGHBOURS
+
+
 def test_decontamination(spark, odd):
     items = spark.createDataFrame([(1, "One two three four five six seven eight nine ten eleven"), (2, "short ITEM"), (2, "short item"), (3, None), (4, "!!"), (None, "null id item"), (5, "short item of")], "item_id long, text string")
     texts = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(20, "x short item y short item"), (21, "one two three four five six seven eight nine ten eleven twelve"), (22, "one two three four five six seven eight nine"), (23, "short-item of")], "doc_id long, text string"))
