@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbmark.llm.scratch import keep
+from plumbmark.llm.scratch import drop, keep
 
 MOST_ROUNDS = 60
 
@@ -50,6 +50,7 @@ def components(edges: DataFrame, path: str, name: str) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         own = keep(small, path, f"{name}-{i}")
+        drop(edges.sparkSession, path, f"{name}-{i - 1}")
         now = own.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

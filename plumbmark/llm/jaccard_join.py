@@ -1,23 +1,27 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, exactly, and their components.
 
-1. A pass over the texts gives each document its set's size and a 64-bit hash of the set, its node: equal sets are one
-   node from here on, however many copies there are. The same pass counts shingles in a fixed number of counters.
-2. Shingles are ordered by their counter, then by hash. Two sets of similarity t share one of the first
-   n - ceil(t n) + 1 shingles of each, so these alone are posted, in packed blocks by bucket of shingles.
+1. A pass over the texts gives each document its set's size, a 64-bit hash of the set, its node, and a parity bitmap of its
+   hashed shingles: equal sets are one node from here on, however many copies there are. The same pass counts shingles in a fixed
+   number of counters.
+2. Shingles are ordered by their counter, then by hash. Of two sets of similarity t, the smaller has one of its first
+   n - ceil(2 t / (1 + t) n) + 1 shingles among the first m - ceil(t m) + 1 of the larger, so these alone are posted, in packed blocks by
+   bucket of shingles. A shingle far more frequent than most is split over buckets by node.
 3. In a bucket, the nodes of one shingle, sorted by size, form size-banded tiles: nodes may link only if their sizes allow
-   the similarity. First each band is compared with its smallest node only. Then, in the lists that still
-   hold nodes of several components, the pairs of different components in a tile are compared. A tile with few
-   pairs that may link returns them; a dense one is compared in its task, where what links is one component from there on, and
-   no pair inside a component is looked at again. So tiles return rows in proportion to their nodes, and yet no component is missed.
-4. A comparison: parity bitmaps of the hashed shingles. The number of bits in which they differ is at most the
-   symmetric difference, so it bounds the intersection from above. What passes is intersected exactly, as sorted arrays.
-
-Bitmaps have as many bits as the set's size, at least `LEAST_BITS`, rounded up to a power of two; of two lengths, the longer
-is folded, which keeps parities.
+   the similarity. First each node is compared with the smallest one that its size allows. Then, in the lists that still
+   hold nodes of several components, the pairs of different components in a tile are compared; first in one list a node, the
+   longest, then in all that are still open. A tile with few pairs that may link returns them; a dense one is compared in its task, where
+   what links is one component from there on, and no pair inside a component is looked at again. So tiles return rows in
+   proportion to their nodes, and yet no component is missed.
+4. A comparison: the number of bits in which two bitmaps differ is at most the symmetric difference, so it bounds the
+   intersection from above. Only of nodes with a pair that passes are the sets made, in one more pass over the texts; they are
+   intersected exactly, as sorted arrays of 64-bit hashes of the shingles.
+
+Bitmaps have `BITS` bits a shingle, at least `LEAST_BITS`, rounded up to a power of two; of two lengths, the longer is folded,
+which keeps parities.
 
 Defined results: a null, empty or wordless text has an empty set, links with nothing and is its own component; a text of
-fewer than `WORDS` words is one shingle; rows that repeat a doc_id are rows of one document more; a component
-of rows without any doc_id is null; extra columns are not read.
+fewer than `WORDS` words is one shingle; rows that repeat a doc_id are rows of one document more; rows without a doc_id link as
+others do, and a component of such rows alone is null; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,20 +31,28 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbmark.llm.arrow_words import SPACES, mix, slices
 from plumbmark.llm.components import components
-from plumbmark.llm.scratch import folder, keep
+from plumbmark.llm.scratch import drop, folder, keep, unused
 from plumbmark.session import table
 
 WORDS, PERCENT = 5, 75
 #: Counters of shingles (a power of two), in blocks of so many.
 COUNTERS, BLOCK = 1 << 18, 1 << 12
-LEAST_BITS = 256
+#: Bits of a bitmap for each shingle, at least: the more, the fewer pairs pass that aren't alike.
+BITS, LEAST_BITS = 4, 256
 #: Posted shingles of a bucket, about, and of a block that a task sends at a time.
 BUCKET, FLUSH = 400_000, 2_000_000
+#: Flags beside the size of a posted set: whether the shingle is among the first ones that the smaller set of a pair must have; whether it is split over buckets.
+INDEXED, SPLIT, SIZE_BITS = np.uint32(1 << 31), np.uint32(1 << 30), np.uint32((1 << 30) - 1)
+#: Rows that may be wanted are found by the hash of their key, in so many positions; a table of at most so many rows is broadcast.
+POSITIONS = 1 << 18
+#: Counters of so many tasks are added up at a time.
+TASKS = 1024
 #: A part of a list, about: longer lists are compared part by part, so that a tile holds two such parts at most.
 TILE_SHINGLES, TILE_NODES = 2_000_000, 16_384
 #: A tile with more pairs to compare for each node is compared in its task; else its pairs are joined with the sets.
@@ -66,14 +78,25 @@ def shingle_sets(words, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
                     v = v * np.uint64(0x9E3779B97F4A7C15) + x
                 whole.append(v)
             values, of = np.concatenate([values, mix(mix(np.array(whole, np.uint64)))]), np.concatenate([of, short])
-    order = np.lexsort((values, of))
+    order = _by_text(of, values >> np.uint64(15), n)
     values, of = values[order], of[order]
+    same = of[1:] == of[:-1]
+    if (same & (values[1:] < values[:-1])).any():  # two shingles that differ in their last bits only
+        order = np.lexsort((values, of))
+        values, of = values[order], of[order]
     first = np.ones(len(values), bool)
-    first[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
+    first[1:] = (values[1:] != values[:-1]) | ~same
     values, of = values[first], of[first]
     return values, np.searchsorted(of, np.arange(n + 1))
 
 
+def _by_text(of: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """A stable order by text (0 .. n - 1), then by a key of 49 bits: one sort of both in a number."""
+    if n > 1 << 15:
+        return np.lexsort((key, of))
+    return np.argsort(of.astype(np.uint64) << np.uint64(49) | key, kind="stable")
+
+
 def _nodes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A hash of each set: its mixed shingles added up, mixed with their number."""
     with np.errstate(over="ignore"):
@@ -82,20 +105,38 @@ def _nodes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _identity(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, node, n of each row, and rows of block, counts: the counters of a task."""
+    """doc_id, row, node, n, bitmap of each row of docs (doc_id, row, text), and rows of block, counts: the counters of a task, whose number is in n."""
+    names = ["doc_id", "row", "node", "n", "bitmap", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, names = np.zeros(COUNTERS, np.int64), ["doc_id", "node", "n", "block", "counts"]
+        counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for at, to, words in slices(batch.column(1), SPACES):
+            for at, to, words in slices(batch.column(2), SPACES):
                 values, bounds = shingle_sets(words, size)
-                counts += np.bincount((values >> np.uint64(46)).astype(np.int64) & (COUNTERS - 1), minlength=COUNTERS)
+                counts += np.bincount(_counter(values), minlength=COUNTERS)
                 k = to - at
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, k), pa.array(_nodes(values, bounds)), pa.array(np.diff(bounds).astype(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-        k = COUNTERS // BLOCK
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.arange(k, dtype=np.int32)), pa.array([counts[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(k)], pa.binary())], names=names)
+                maps = pa.array([_bitmap(values[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, k), batch.column(1).slice(at, k), pa.array(_nodes(values, bounds)), pa.array(np.diff(bounds).astype(np.int64)), maps, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+        some = [i for i in range(COUNTERS // BLOCK) if counts[i * BLOCK : (i + 1) * BLOCK].any()]
+        k, none = len(some), pa.nulls(len(some), pa.int64())
+        task = pa.array(np.full(k, TaskContext.get().partitionId(), np.int64))
+        yield pa.RecordBatch.from_arrays([none, none, none, task, pa.nulls(k, pa.binary()), pa.array(some, pa.int32()), pa.array([counts[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in some], pa.binary())], names=names)
+
+    return docs.mapInArrow(run, "doc_id long, row long, node long, n long, bitmap binary, block int, counts binary")
+
+
+def _counter(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(46)).astype(np.int64) & (COUNTERS - 1)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, block int, counts binary")
+def _counters(found: DataFrame) -> np.ndarray:
+    """The sum of all tasks' counters; those of `TASKS` tasks at a time, so that no task gets the counters of all."""
+    blocks = found.where("block IS NOT NULL").select("block", F.floor(F.col("n") / TASKS).alias("some"), "counts")
+    parts = blocks.groupBy("block", "some").applyInArrow(lambda t: _add_blocks(t), "block int, counts binary")
+    total = np.zeros(COUNTERS, np.int64)
+    for row in parts.groupBy("block").applyInArrow(lambda t: _add_blocks(t), "block int, counts binary").toArrow().to_pylist():
+        total[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.int64)
+    return total
 
 
 def _add_blocks(table: pa.Table) -> pa.Table:
@@ -107,16 +148,31 @@ def _prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (n * percent + 99) // 100 + 1
 
 
-def _postings(docs: DataFrame, ranks: np.ndarray, buckets: int, size: int, percent: int) -> DataFrame:
+def _index_length(n: np.ndarray, percent: int) -> np.ndarray:
+    """Of the smaller set of a pair: two sets of at least n shingles share 2 t / (1 + t) n of them."""
+    return n - (2 * n * percent + 99 + percent) // (100 + percent) + 1
+
+
+def _postings(docs: DataFrame, counters: np.ndarray, buckets: int, size: int, percent: int, bucket_size: int) -> DataFrame:
     """bucket, tokens, nodes, sizes: packed blocks of the prefix shingles of all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    ranks = np.unique(counters, return_inverse=True)[1].astype(np.int32)
+    # a counter far above the mean holds a hot shingle
+    parts = np.maximum(1, np.ceil((counters - 2 * counters.mean()) / bucket_size)).astype(np.int32)
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, held, amount = sent.value, [], 0
+        (rank, parts), held, amount = sent.value, [], 0
 
         def flush() -> pa.RecordBatch:
             token, node, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            salt = parts[_counter(token)]
+            split = salt > 1
             bucket = (token % np.uint64(buckets)).astype(np.int64)
+            if split.any():
+                with np.errstate(over="ignore"):
+                    own = mix(node[split].view(np.uint64)) % salt[split].astype(np.uint64)
+                    bucket[split] = (mix(token[split] + own) % np.uint64(buckets)).astype(np.int64)
+                n = np.where(split, n | SPLIT, n)
             order = np.argsort(bucket, kind="stable")
             token, node, n, bucket = (token[order] >> np.uint64(16)).astype(np.uint32), node[order], n[order], bucket[order]
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
@@ -128,10 +184,12 @@ def _postings(docs: DataFrame, ranks: np.ndarray, buckets: int, size: int, perce
                 values, bounds = shingle_sets(words, size)
                 n = np.diff(bounds)
                 of = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((values, rank[(values >> np.uint64(46)).astype(np.int64) & (COUNTERS - 1)], of))
+                # values ascend within a text, so a stable sort leaves ties of the key in their order
+                order = _by_text(of, rank[_counter(values)].astype(np.uint64) << np.uint64(31) | values >> np.uint64(33), len(n))
                 place = np.arange(len(values)) - np.repeat(bounds[:-1], n)
                 use = place < np.repeat(_prefix_length(n, percent), n)
-                held.append((values[order][use], _nodes(values, bounds)[of[use]], n[of[use]].astype(np.uint32)))
+                size_of = n[of[use]].astype(np.uint32)
+                held.append((values[order][use], _nodes(values, bounds)[of[use]], np.where(place[use] < _index_length(n, percent)[of[use]], size_of | INDEXED, size_of)))
                 amount += int(use.sum())
                 if amount >= FLUSH:
                     yield flush()
@@ -142,57 +200,59 @@ def _postings(docs: DataFrame, ranks: np.ndarray, buckets: int, size: int, perce
     return docs.select("text").mapInArrow(run, "bucket int, tokens binary, nodes binary, sizes binary")
 
 
-def _read_bucket(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """token, node, size of a bucket, each pair once, by token, size and node."""
+def _read_bucket(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """token, node, size, indexed, split of a bucket, each pair of token and node once, by token, size and node."""
     token, node, n = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("tokens", np.uint32), ("nodes", np.int64), ("sizes", np.uint32)))
-    order = np.lexsort((node, n, token))
-    token, node, n = token[order], node[order], n[order].astype(np.int64)
+    order = np.lexsort((node, token.astype(np.uint64) << np.uint64(32) | (n & SIZE_BITS)))
+    token, node, n = token[order], node[order], n[order]
     first = np.ones(len(token), bool)
     first[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-    return token[first], node[first], n[first]
+    token, node, n = token[first], node[first], n[first]
+    return token, node, (n & SIZE_BITS).astype(np.int64), (n & INDEXED) > 0, (n & SPLIT) > 0
 
 
 def _lists(percent: int):
-    """For each bucket: links to try first (member a, smallest node b), and the lists of three nodes and more, as (list, a, n) rows.
+    """For each bucket: links to try first (member a, the smallest node b that its size allows), and the lists of three nodes and more, as (list, a, n) rows.
 
-    A list of two is its link; what the links of a longer list leave apart, its tiles look at again.
+    A list of two is its link; what the links of a longer list leave apart, its tiles look at again. Of a split shingle, all nodes
+    are listed, by the shingle's name.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        token, node, n = _read_bucket(table)
+        token, node, n, indexed, split = _read_bucket(table)
+        place = token.astype(np.int64) << 30
+        to = np.searchsorted(place + n, place + n * 100 // percent, side="right")  # nodes of the list up to here are not too large
+        reach = np.maximum.accumulate(np.where(indexed, to, 0)) if len(token) else to
+        at = np.arange(len(token))
+        meets = split | (indexed & (to > at + 1)) | (np.concatenate([[0], reach[:-1]]) > at if len(token) else split)
+        token, node, n, split, place = (x[meets] for x in (token, node, n, split, place))
         edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]])) if len(token) else np.zeros(1, np.int64)
         sizes = np.diff(edges)
+        least = np.searchsorted(place + n, place + (n * percent + 99) // 100)
+        tries = np.flatnonzero(least < np.arange(len(token)))
+        long_ = np.flatnonzero((sizes > 2) | split[edges[:-1]]) if len(sizes) else np.zeros(0, np.int64)
         with np.errstate(over="ignore"):
             total = np.concatenate([[np.uint64(0)], np.cumsum(mix(node.view(np.uint64)))])
-            names = mix(total[edges[1:]] - total[edges[:-1]] + sizes.astype(np.uint64)) if len(sizes) else np.zeros(0, np.uint64)
-        long_ = np.flatnonzero(sizes > 1)
-        _, once = np.unique(names[long_], return_index=True)
-        own, nodes, ns = [], [], []
-        links: dict[bool, list] = {True: [], False: []}  # by whether the list is kept too
-        for i in long_[np.sort(once)]:
-            v, m = node[edges[i] : edges[i + 1]], n[edges[i] : edges[i + 1]]
-            at, listed = 0, len(v) > 2
-            while at < len(v):  # a band: sizes that the smallest one's size allows
-                to = int(np.searchsorted(m, m[at] * 100 // percent, side="right"))
-                links[listed].append(np.stack([v[at + 1 : to], np.full(to - at - 1, v[at])], axis=1))
-                at = to
-            if listed:
-                own.append(np.full(len(v), names[i : i + 1].view(np.int64)[0]))
-                nodes.append(v)
-                ns.append(m)
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        pairs = {k: np.unique(np.concatenate([np.zeros((0, 2), np.int64), *x]), axis=0) for k, x in links.items()}
-        both = np.concatenate([pairs[False], pairs[True]])
-        k, r = len(both), sum(map(len, nodes))
-        kind = pa.array([False] * len(pairs[False]) + [True] * len(pairs[True]) + [None] * r, pa.bool_())
-        return pa.table({"list": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(cat(own).astype(np.int64))]), "a": pa.array(np.concatenate([both[:, 0], cat(nodes)]).astype(np.int64)), "b": pa.concat_arrays([pa.array(both[:, 1].astype(np.int64)), pa.nulls(r, pa.int64())]), "n": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(cat(ns).astype(np.int64))]), "listed": kind})
+            names = mix(total[edges[1:]] - total[edges[:-1]] + sizes.astype(np.uint64))[long_] if len(sizes) else np.zeros(0, np.uint64)
+            if len(long_):
+                names = np.where(split[edges[:-1][long_]], mix(mix(token[edges[:-1][long_]].astype(np.uint64))), names)
+        names, once = np.unique(names, return_index=True)
+        own = np.concatenate([np.zeros(0, np.int64), *[np.arange(edges[i], edges[i + 1]) for i in long_[once]]]).astype(np.int64)
+        of = np.repeat(names, sizes[long_[once]]).view(np.int64)
+        a, b = np.minimum(node[tries], node[least[tries]]), np.maximum(node[tries], node[least[tries]])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+        a, b = a[new], b[new]
+        k, r = len(a), len(own)
+        return pa.table({"list": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(of)]), "a": pa.array(np.concatenate([a, node[own]])), "b": pa.concat_arrays([pa.array(b), pa.nulls(r, pa.int64())]), "n": pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(n[own])])})
 
     return run
 
 
 def _bitmap(values: np.ndarray) -> bytes:
     bits = LEAST_BITS
-    while bits < len(values):
+    while bits < BITS * len(values):
         bits *= 2
     return np.packbits(np.bincount((values >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8).tobytes()
 
@@ -213,30 +273,55 @@ def may_link(n: int, m: int, bits: int, percent: int) -> bool:
     return 100 * most >= percent * (n + m - most)
 
 
+def _maybe(docs: DataFrame, keys: DataFrame, wanted: bool = True) -> DataFrame:
+    """The rows of docs (with a column row) that may be among keys (row), or that are surely not; no text is shuffled."""
+    place = lambda: F.pmod(F.xxhash64("row"), F.lit(POSITIONS)).cast("int")
+    taken = keys.select(place().alias("_place")).distinct()
+    return docs.join(F.broadcast(taken), place() == F.col("_place"), "left_semi" if wanted else "left_anti")
+
+
 def _sets(docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """node, n, bitmap, shingles of the nodes in reps (doc_id, node, text_hash), one row each."""
+    """node, shingles of the nodes in reps (node, row), once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for _, _, words in slices(batch.column(0), SPACES):
                 values, bounds = shingle_sets(words, size)
-                cut = [values[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(values, bounds)), pa.array(np.diff(bounds).astype(np.int64)), pa.array([_bitmap(x) for x in cut], pa.binary()), pa.array([x.tobytes() for x in cut], pa.binary())], names=["node", "n", "bitmap", "shingles"])
+                nodes, new = _nodes(values, bounds), []
+                for i, node in enumerate(nodes.tolist()):
+                    if bounds[i] < bounds[i + 1] and node not in seen:
+                        seen.add(node)
+                        new.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[new]), pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in new], pa.binary())], names=["node", "shingles"])
 
-    found = docs.join(reps.select("doc_id", F.col("node").alias("_node")), "doc_id").select("text").mapInArrow(run, "node long, n long, bitmap binary, shingles binary")
-    return found.join(reps.select("node"), "node", "left_semi")
+    found = _maybe(docs, reps).select("text").mapInArrow(run, "node long, shingles binary")
+    return found.join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike: bitmaps first, then the sets of what passes."""
-    signs = sets.select("node", "n", "bitmap")
-    side = lambda t, x: t.withColumnsRenamed({c: f"{c}_{x}" for c in t.columns if c != "node"}).withColumnRenamed("node", x)
+def _near(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow them to be alike."""
+    side = lambda x: signs.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bitmap_{x}"))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m, x, y = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "bitmap_a", "bitmap_b"))
-            ok = [may_link(*r[:2], differing_bits(*r[2:]), percent) for r in zip(n, m, x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            x, y = ([v.as_buffer() for v in batch.column(c)] for c in ("bitmap_a", "bitmap_b"))
+            sizes = np.array([[v.size for v in z] for z in (x, y)]).reshape(2, -1)
+            ok = np.zeros(len(n), bool)
+            for p, q in np.unique(sizes, axis=1).T:  # pairs of the same two lengths at a time
+                at = np.flatnonzero((sizes[0] == p) & (sizes[1] == q))
+                k = min(p, q)
+                u, v = (np.bitwise_xor.reduce(np.frombuffer(b"".join(z[i] for i in at), np.uint8).reshape(len(at), -1, k), axis=1) for z in (x, y))
+                ok[at] = may_link(n[at], m[at], np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(bounded, "a long, b long")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are alike."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,9 +330,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(_alike(*(np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y)), percent))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    near = pairs.join(side(signs, "a"), "a").join(side(signs, "b"), "b").mapInArrow(bounded, "a long, b long")
-    whole = sets.select("node", "shingles")
-    return near.join(side(whole, "b"), "b").join(side(whole, "a"), "a").select("a", "b", "shingles_a", "shingles_b").mapInArrow(alike, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "shingles_a", "shingles_b").mapInArrow(alike, "a long, b long")
 
 
 def _alike(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
@@ -284,8 +367,8 @@ def _open_pairs(table: pa.Table, percent: int):
     return comp, pairs()
 
 
-def _candidates(percent: int):
-    """The pairs (a, b) of a tile that may link; of a tile with more than `DENSE` pairs for each node, those nodes instead (b is null), with what `_tiles` reads."""
+def _candidates(percent: int, dense: int):
+    """The pairs (a, b) of a tile that may link; of a tile with more than `dense` pairs for each node, those nodes instead (b is null), with what `_tiles` reads."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("n", "ascending"), ("node", "ascending")])
@@ -294,13 +377,13 @@ def _candidates(percent: int):
             touched[other] = True
             touched[i] |= len(other) > 0
             found += len(other)
-            if found <= DENSE * len(node):
+            if found <= dense * len(node):
                 a.append(np.minimum(node[i], node[other]))
                 b.append(np.maximum(node[i], node[other]))
         rest = ["list", "i", "j", "part", "n", "component"]
-        if found > DENSE * len(node):
-            dense = table.filter(pa.array(touched))
-            return pa.table({"a": dense["node"], "b": pa.nulls(len(dense), pa.int64()), **{c: dense[c] for c in rest}})
+        if found > dense * len(node):
+            own = table.filter(pa.array(touched))
+            return pa.table({"a": own["node"], "b": pa.nulls(len(own), pa.int64()), **{c: own[c] for c in rest}})
         x, y = (np.concatenate([np.zeros(0, np.int64), *z]) for z in (a, b))
         return pa.table({"a": pa.array(x), "b": pa.array(y), **{c: pa.nulls(len(x), table.schema.field(c).type) for c in rest}})
 
@@ -326,52 +409,98 @@ def _tiles(percent: int):
     return run
 
 
-def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs."""
+def _look_again(lists: DataFrame, signs: DataFrame, percent: int, dense: int) -> DataFrame:
+    """Pairs (a, b) that may link in the lists (list, node, n, component, parts), and the rows of dense tiles (b is null)."""
+    placed = lists.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("list", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "component")
+    tiles = placed.join(signs.select("node", "bitmap"), "node")
+    return tiles.groupBy("list", "i", "j").applyInArrow(lambda t: _candidates(percent, dense)(t), "a long, b long, list long, i int, j int, part int, n long, component long")
+
+
+def link_rows(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, bucket_size: int = BUCKET, dense: int = DENSE, part: int = TILE_NODES) -> DataFrame:
+    """doc_id, row, n, component (a node; null for an empty set) of each row of docs (doc_id, row, text)."""
     spark = docs.sparkSession
     path = folder(spark)
     first = keep(_identity(docs, size), path, "identity")
-    rows = first.where("block IS NULL").select("doc_id", "node", "n")
-    blocks = first.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(lambda t: _add_blocks(t), "block int, counts binary").toArrow().sort_by("block")
-    counters = np.frombuffer(b"".join(blocks["counts"].to_pylist()), np.int64) if len(blocks) else np.zeros(COUNTERS, np.int64)
-    ranks = np.unique(counters, return_inverse=True)[1].astype(np.int32)
+    rows = first.where("block IS NULL")
+    signs = keep(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("row").alias("row")), path, "signs")
+    counters = _counters(first)
     amount = int(_prefix_length(counters.sum(), percent))
-    buckets = max(8, -(-amount // BUCKET))
+    buckets = max(8, -(-amount // bucket_size))
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
-    posted = _postings(docs, ranks, buckets, size, percent).repartition(partitions, "bucket")
-    tried = keep(posted.groupBy("bucket").applyInArrow(lambda t: _lists(percent)(t), "list long, a long, b long, n long, listed boolean"), path, "lists")
-    links = tried.where("list IS NULL").select("a", "b")
-    pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    lists = tried.where("list IS NOT NULL").select("list", F.col("a").alias("node"), "n").distinct()
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(lists.select("node")).distinct()
-    reps = rows.where("n > 0").join(involved, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id IS NOT NULL")
-    sets = keep(_sets(docs, reps, size).dropDuplicates(["node"]), path, "sets")
-    edges = keep(_linked(pairs, sets, percent), path, "edges-1")
-    comps = keep(components(edges, path, "round-1"), path, "components-1")
-    labelled = lists.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = F.greatest(F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_NODES)).cast("int")
-    open_ = labelled.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), parts.alias("parts")).where("x <> y").select("list", "parts")
-    placed = labelled.join(open_, "list").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("list", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "n", "component")
-    tiles = placed.join(sets.select("node", "bitmap"), "node")
-    kinds = "a long, b long, list long, i int, j int, part int, n long, component long"
-    found = keep(tiles.groupBy("list", "i", "j").applyInArrow(lambda t: _candidates(percent)(t), kinds), path, "candidates")
-    dense = found.where("b IS NULL").drop("b").withColumnRenamed("a", "node").join(sets.select("node", "bitmap", "shingles"), "node")
-    linked = dense.groupBy("list", "i", "j").applyInArrow(lambda t: _tiles(percent)(t), "a long, b long")
-    edges_2 = keep(_linked(found.where("b IS NOT NULL").select("a", "b").distinct(), sets, percent).unionByName(linked), path, "edges-2")
-    last = keep(components(edges.unionByName(edges_2), path, "round-2"), path, "components-2")
-    least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    grouped = least.join(last, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    names = grouped.join(ids, "component").select("node", "component_id")
-    return rows.join(names, (rows["node"] == names["node"]) & (rows["n"] > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    posted = _postings(docs, counters, buckets, size, percent, bucket_size).repartition(partitions, "bucket")
+    tried = keep(posted.groupBy("bucket").applyInArrow(lambda t: _lists(percent)(t), "list long, a long, b long, n long"), path, "lists")
+    lists = keep(tried.where("list IS NOT NULL").select("list", F.col("a").alias("node"), "n").distinct(), path, "members")
+    near = keep(_near(tried.where("list IS NULL").select("a", "b").distinct(), signs, percent), path, "near-0")
+    drop(spark, path, "lists")
+    edges, sets, known, shape = None, None, None, "a long, b long"
+    for k in range(3):
+        if k:
+            labelled = lists.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            parts = F.greatest(F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / part)).cast("int")
+            open_ = labelled.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y"), parts.alias("parts"), F.count("*").alias("nodes")).where("x <> y").select("list", "parts", "nodes")
+            todo = keep(labelled.join(open_, "list"), path, f"open-{k}")
+            if todo.isEmpty():
+                break
+            if k == 1:  # for each node, the longest list that it is in
+                todo = todo.join(todo.groupBy("node").agg(F.max(F.struct("nodes", "list"))["list"].alias("list")).select("list").distinct(), "list", "left_semi")
+            near = keep(_look_again(todo.drop("nodes"), signs, percent, dense), path, f"near-{k}")
+        pairs = near.where("b IS NOT NULL").select("a", "b").distinct()
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        if k:
+            wanted = wanted.unionByName(near.where("b IS NULL").select(F.col("a").alias("node")))
+        wanted = wanted.distinct() if known is None else wanted.distinct().join(known, "node", "left_anti")
+        reps = keep(signs.select("node", "row").join(wanted, "node", "left_semi"), path, f"reps-{k}")
+        made = keep(_sets(docs, reps, size), path, f"sets-{k}")
+        sets, known = (made, reps.select("node")) if sets is None else (sets.unionByName(made), known.unionByName(reps.select("node")))
+        links = _linked(pairs, sets, percent)
+        if k:
+            whole = near.where("b IS NULL").drop("b").withColumnRenamed("a", "node").join(signs.select("node", "bitmap"), "node").join(sets, "node")
+            links = links.unionByName(whole.groupBy("list", "i", "j").applyInArrow(lambda t: _tiles(percent)(t), shape))
+        found = keep(links, path, f"edges-{k}")
+        if not k or not found.isEmpty():
+            edges = found if edges is None else edges.unionByName(found)
+            comps = keep(components(edges, path, f"round-{k}"), path, f"components-{k}")
+        drop(spark, path, f"near-{k}", f"open-{k}")
+    drop(spark, path, "members", "signs", *[f"sets-{k}" for k in range(3)], *[f"reps-{k}" for k in range(3)])
+    named = rows.join(comps, "node", "left")
+    return named.select("doc_id", "row", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), "text")
+
+
+def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, **sizes: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs. sizes: bucket_size, dense and part of `link_rows`."""
+    rows = link_rows(_keyed(docs), size, percent, **sizes)
+    ids = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(ids, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are first in their component, by doc_id; rows that repeat it, one of them. All columns kept."""
-    kept = link(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*[f"`{c}`" for c in docs.columns])
+    """The rows of docs that are first in their component, by doc_id (nulls last); of rows that repeat doc_id and text, one. All columns kept.
+
+    Rows with an empty set link with nothing and all stay. Only texts that may go are shuffled.
+    """
+    keyed = _keyed(docs)
+    rows = keep(link_rows(keyed), folder(docs.sparkSession), "rows").where("component IS NOT NULL")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"].alias("row")).select("row", F.lit(True).alias("first"))
+    # rows that go, and rows of which one stays
+    doubtful = rows.groupBy("row").agg(F.count("*").alias("times")).join(first, "row", "left").where("first IS NULL OR times > 1").select("row", F.col("first").isNull().alias("goes"))
+    key = unused(docs, "row")
+    own = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    named = doubtful.withColumnsRenamed({"row": "_row", "goes": "_goes"})
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(POSITIONS)).cast("int")
+    taken = F.broadcast(named.select(place("_row").alias("_place")).distinct())
+    goes = unused(own, "_goes")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    sure = own.join(taken, place(key) == taken["_place"], "left_anti").select(*columns)
+    maybe = own.join(taken, place(key) == taken["_place"], "left_semi")
+    joined = maybe.join(named.select(F.col("_row").alias(unused(own, "_row")), F.col("_goes").alias(goes)), F.col(key) == F.col(unused(own, "_row")), "left")
+    stay = joined.where(F.col(goes).isNull()).select(*columns)
+    once = joined.where(~F.col(goes)).dropDuplicates([key]).select(*columns)
+    return sure.unionByName(stay).unionByName(once)
 
 
 def op8_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,33 @@ def folder(spark: SparkSession) -> str:
     return path.toString()
 
 
+#: Shuffle files of an execution go when it ends, and don't wait for the driver's garbage collector.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, path: str, name: str) -> DataFrame:
     """df written as a table and read again: its lineage ends here, and lost executors don't bring it back to work."""
-    df.write.parquet(f"{path}/{name}")
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(f"{path}/{name}")
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+
+def drop(spark: SparkSession, path: str, *names: str) -> None:
+    """Removes kept tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for name in names:
+        folder_ = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        folder_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder_, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores after it as long as df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

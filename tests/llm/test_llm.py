@@ -198,22 +198,33 @@ def test_jaccard(spark, docs, odd):
     assert jaccard_join.one_each(odd).columns == odd.columns
 
 
-@pytest.mark.parametrize("dense", [0, 4])
-def test_jaccard_parts(spark, monkeypatch, dense):
-    """Variants of one text, in lists longer than a tile's part, compared in the tiles' tasks or not."""
-    monkeypatch.setattr(jaccard_join, "TILE_NODES", 4)
-    monkeypatch.setattr(jaccard_join, "DENSE", dense)
+@pytest.mark.parametrize("sizes", [{"dense": 0}, {"dense": 4}, {"bucket_size": 1, "dense": 1}])
+def test_jaccard_parts(spark, sizes):
+    """Variants of one text, in lists longer than a tile's part, compared in the tiles' tasks or not; frequent shingles split over buckets."""
     texts = {}
     for i in range(60):
         words = [f"w{k}" for k in range(80)]
         for k in range(i % 7):
             words[(11 * i + 13 * k) % 80] = f"x{i % 9}-{k}"
         texts[i] = " ".join(words[: 80 - i % 5])
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), part=4, **sizes).collect()}
     want = jaccard_join.brute_force(texts)
     assert len({c for _, c in want.values()}) > 2 and got == want
 
 
+def test_jaccard_without_ids(spark):
+    """A row without an id links others all the same; of each component one row stays, whatever the ids; unlinked texts of one id all stay."""
+    w = [f"w{k}" for k in range(46)]
+    a, n, b = " ".join(w[:40]), " ".join(w[3:43]), " ".join(w[6:46])  # a and n link, n and b do, a and b don't
+    assert len({c for _, c in jaccard_join.brute_force({1: a, 3: b}).values()}) == 2
+    rows = [(1, a, "x"), (None, n, "y"), (3, b, "z"), (7, "some other text of its own here", "u"), (7, "and one more that shares the id only", "v"), (7, "and one more that shares the id only", "v"), (None, "alone and without any id at all", "w"), (None, "alone and without any id at all", "w"), (8, "", "e"), (8, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.link(df).collect()}
+    assert got == {(1, 1), (None, 1), (3, 1), (7, 7), (None, None), (8, 8)}
+    kept = sorted(r.row for r in jaccard_join.one_each(df).select("doc_id", "text", "row").collect())
+    assert kept == sorted("xuvwee")
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges, scratch.folder(spark), "t").collect()}
