@@ -8,32 +8,39 @@ log-odds of its bucket, for a training text taken from the other parts of the tr
 The logit is scaled and moved so that a score of 0.7 is the best cut on the training texts. `thresholds` holds a
 cut for each language that has enough training texts, 0.7 for others; languages bear on decisions only, never on a score.
 
-Training takes at most `PER_CLASS` texts of each label to the driver, as hashed words; scoring runs over whole texts in Arrow
-batches, two megabytes of text at a time, without a shuffle.
+Training takes at most `PER_CLASS` whole texts of each label, `MOST_WORDS` words in all, as hashed words, to one task; the driver
+gets the model only, which has a fixed size. Texts of more than `LONGEST` words are not learned from. Scoring runs over whole
+texts in Arrow batches, two megabytes of text at a time, without a shuffle.
 
 Defined results: null and empty texts score as a text without any word; without both labels in training every score is the
-smoothed rate of label 1; rows that repeat get equal scores; other columns of the documents are kept as they are.
+smoothed rate of label 1; rows that repeat get equal scores; other columns of the documents are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from plumbmark.llm.arrow_words import NOT_WORD, slices
 from plumbmark.llm.labelled import fold, sample
+from plumbmark.llm.scratch import drop, folder, keep, unused
 from plumbmark.session import table
 
 WORD_BITS, STEM_BITS, PREFIX = 18, 17, 5
 CHANNELS, FILTERS, WIDTHS = 3, 4, (1, 2, 3)
 #: The most training texts of label 0 and of label 1.
 PER_CLASS = (6000, 4000)
+#: The most words of all training texts, and of one; texts are taken whole or not at all.
+MOST_WORDS, LONGEST = 8_000_000, 200_000
 PARTS, EPOCHS, BATCH, RATE, PRIOR = 4, 6, 32, 0.02, 3.0
 CUT = 0.7
 
@@ -83,13 +90,21 @@ def buckets(words) -> tuple[np.ndarray, np.ndarray]:
     return (words.hashes() >> np.uint64(64 - WORD_BITS)).astype(np.int32), (words.hashes(PREFIX) >> np.uint64(64 - STEM_BITS)).astype(np.int32)
 
 
-def _log_odds(ids: np.ndarray, text: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """Smoothed log-odds of each bucket, by texts, less those of the labels. Texts of label -1 don't count."""
-    pairs = np.unique(text.astype(np.int64) * size + ids)
-    of, bucket = pairs // size, pairs % size
-    ones = np.bincount(bucket[label[of] == 1], minlength=size)
-    zeros = np.bincount(bucket[label[of] == 0], minlength=size)
-    rate = float(np.clip(label[label >= 0].mean(), 0.001, 0.999))
+def _texts_with(ids: np.ndarray, text: np.ndarray, label: np.ndarray, part: np.ndarray, size: int) -> np.ndarray:
+    """(parts, 2, size): in how many texts of each part and label a bucket occurs."""
+    out = np.zeros((PARTS, 2, size), np.int32)
+    for p in range(PARTS):
+        own = part[text] == p
+        pairs = np.unique(text[own].astype(np.int64) * size + ids[own])
+        of, bucket = pairs // size, pairs % size
+        for value in (0, 1):
+            out[p, value] = np.bincount(bucket[label[of] == value], minlength=size)
+    return out
+
+
+def _log_odds(zeros: np.ndarray, ones: np.ndarray, rate: float) -> np.ndarray:
+    """Smoothed log-odds of each bucket, by texts, less those of the labels."""
+    rate = float(np.clip(rate, 0.001, 0.999))
     return (np.log((ones + PRIOR * rate) / (zeros + PRIOR * (1 - rate))) - np.log(rate / (1 - rate))).astype(np.float32)
 
 
@@ -109,7 +124,9 @@ def fit(word: np.ndarray, stem: np.ndarray, sizes: np.ndarray, label: np.ndarray
     for w in WIDTHS:
         model.filters[w][0, [0, CHANNELS], :] += 0.5  # look for words that speak for label 1
     part = rng.permutation(len(sizes)) % PARTS
-    odds = [(_log_odds(word[(m := part[text] != p)], text[m], np.where(part != p, label, -1), 1 << WORD_BITS), _log_odds(stem[m], text[m], np.where(part != p, label, -1), 1 << STEM_BITS)) for p in range(PARTS)]
+    counts = [_texts_with(word, text, label, part, 1 << WORD_BITS), _texts_with(stem, text, label, part, 1 << STEM_BITS)]
+    totals = [c.sum(axis=0) for c in counts]
+    odds = [[_log_odds(*(t - c[p]), label[part != p].mean() if (part != p).any() else 0.5) for c, t in zip(counts, totals, strict=True)] for p in range(PARTS)]
     model.offset = -1.0
     weight = np.where(label == 1, 0.5 / max(label.sum(), 1), 0.5 / max((label == 0).sum(), 1)) * len(label)
     moments: dict = {}
@@ -188,7 +205,7 @@ def fit(word: np.ndarray, stem: np.ndarray, sizes: np.ndarray, label: np.ndarray
         own = lang == name
         if label[own].sum() >= 30 and (label[own] == 0).sum() >= 30:
             model.thresholds[name] = float(np.clip(best_cut(scores[own], label[own], real[own]), 0.5, 0.9))
-    model.word[:, 0], model.stem[:, 0] = _log_odds(word, text, label, 1 << WORD_BITS), _log_odds(stem, text, label, 1 << STEM_BITS)
+    model.word[:, 0], model.stem[:, 0] = (_log_odds(*t, label.mean()) for t in totals)
     return model
 
 
@@ -213,25 +230,48 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_train=No
         for batch in batches:
             for at, to, words in slices(batch.column(1), NOT_WORD):
                 a, b = buckets(words)
-                cut = lambda x, w=words: [x[i:j].tobytes() for i, j in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
+                cut = lambda x, w=words: pa.array([x[i:j].tobytes() for i, j in zip(w.bounds[:-1], w.bounds[1:], strict=True)], pa.binary())
                 part = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cut(a), pa.binary()), pa.array(cut(b), pa.binary()), part.column(2), part.column(3)], names=["doc_id", "word", "stem", "label", "lang"])
+                yield pa.RecordBatch.from_arrays([part.column(0), cut(a), cut(b), part.column(2), part.column(3), pa.array(np.diff(words.bounds).astype(np.int64))], names=["doc_id", "word", "stem", "label", "lang", "n"])
 
-    rows = picked.select("doc_id", "text", "label", "lang").mapInArrow(hashed, "doc_id long, word binary, stem binary, label int, lang string").toArrow().sort_by("doc_id")
-    label_of = rows["label"].to_numpy().astype(np.int64)
-    read = lambda name: np.frombuffer(b"".join(rows[name].to_pylist()), np.int32)
-    sizes = np.array([len(x) // 4 for x in rows["word"].to_pylist()], np.int64)
+    spark = docs.sparkSession
+    path = folder(spark)
+    rows = keep(picked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label", "lang").mapInArrow(hashed, "doc_id long, word binary, stem binary, label int, lang string, n long"), path, "sample").where(F.col("n") <= LONGEST)
+    # of a sample beyond the bound, the texts whose hashed ids come first; the window sees numbers only
+    until = rows.select("doc_id", F.sum("n").over(Window.orderBy(F.xxhash64(F.lit("words"), "doc_id"), "doc_id")).alias("until")).where(F.col("until") <= MOST_WORDS).select("doc_id").distinct()
     totals = {r[0]: r[1] for r in labels.where(F.col(label).isNotNull() & may).groupBy(F.col(label).cast("int")).count().collect()}
-    rates = tuple(min(1.0, max((label_of == v).sum(), 1) / max(totals.get(v, 1), 1)) for v in (0, 1))
-    return fit(read("word"), read("stem"), sizes, label_of, np.array(rows["lang"].to_pylist(), object), rates)
 
-
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with `toxicity`, the score of each whole text."""
-    keep = [c for c in docs.columns if c != "toxicity"]
-    docs = docs.select(*[f"`{c}`" for c in keep])
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, small = {"word": [], "stem": []}, []
+        for batch in batches:
+            for name, held in parts.items():
+                held += [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(name)]
+            small.append(batch.select(["doc_id", "label", "lang"]).to_pandas())
+        if not small:
+            model = Model(np.zeros((1 << WORD_BITS, CHANNELS), np.float32), np.zeros((1 << STEM_BITS, CHANNELS), np.float32), {w: np.zeros((w, 2 * CHANNELS, FILTERS), np.float32) for w in WIDTHS}, np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), constant=0.5)
+        else:
+            table_ = pd.concat(small, ignore_index=True)
+            sizes = np.array([len(x) for x in parts["word"]], np.int64)
+            # the same order whatever the order the rows came in
+            order = np.lexsort((sizes, table_["doc_id"].to_numpy()))
+            label_of = table_["label"].to_numpy(np.int64)[order]
+            word, stem = (np.concatenate([held[i] for i in order]) for held in parts.values())
+            parts.clear()
+            rates = tuple(min(1.0, max((label_of == v).sum(), 1) / max(totals.get(v, 1), 1)) for v in (0, 1))
+            lang = np.array([x if isinstance(x, str) else None for x in table_["lang"].to_numpy(object)[order]], object)
+            model = fit(word, stem, sizes[order], label_of, lang, rates)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = rows.join(F.broadcast(until), "doc_id", "left_semi").drop("n").repartition(1).mapInArrow(fitted, "model binary").first()
+    drop(spark, path, "sample")
+    return pickle.loads(found["model"])
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
+    """docs with the score of each whole text, in a column called name, which docs doesn't have."""
+    columns = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)  # tables of a fixed size
-    column = keep.index(text)
+    column = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -240,9 +280,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             out = [np.zeros(0)]
             for _, _, words in slices(batch.column(column), NOT_WORD):
                 out.append(own.score(own.logits(*buckets(words), words.bounds, tables)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out), pa.float64())], names=[*keep, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out), pa.float64())], names=[*columns, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType(), False)]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType(), False)]))
 
 
 def threshold(model: Model, lang) -> F.Column:
@@ -254,9 +294,10 @@ def threshold(model: Model, lang) -> F.Column:
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the classifier lets pass: a score below their language's threshold."""
-    passed = score(docs, model)
+    name = unused(docs, "toxicity")
+    passed = score(docs, model, name=name)
     cut = threshold(model, F.col("lang")) if "lang" in docs.columns else F.lit(CUT)
-    return passed.where(F.col("toxicity") < cut).select(*[f"`{c}`" for c in docs.columns])
+    return passed.where(F.col(name) < cut).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op3_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
