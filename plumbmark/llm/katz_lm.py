@@ -11,14 +11,18 @@ to 1 over all known words and the unknown one. A text starts after a start symbo
 end token.
 
 1. Words are counted over all training texts; the counts are a written table.
-2. One pass turns texts into blocks: distinct words, and every token as its place among them, a written table. The words are sent to
-   where their counts are, and the counts come back.
-3. A block's distinct trigrams, with the counts of their last two words, how often they train, and in which document of the block they
-   occur, go to the bucket of the second-last word, one written row a bucket. A frequent word is split over buckets by its share of
-   the tokens, so that no bucket holds a hot one whole. So the counts of a bigram and of all trigrams that end in it are in one bucket.
-4. One pass gives the counts of counts; one gives the parts of the histories that are split over buckets, which are summed up.
+2. One pass turns texts into blocks: distinct words, and every token as its place among them. The words are sent to where their
+   counts are, the counts come back, and blocks with counts are a written table.
+3. A block's trigrams go to the bucket of their second-last word, one cell a block and bucket: the cell's distinct words with their
+   counts, three places among these for each token, and how many tokens each document has. Numbers are packed in as many bytes
+   as they need, byte by byte, so a token takes about as many bytes as its text. A frequent word is split over buckets by its share
+   of the tokens, so that no bucket holds a hot one whole. So the counts of a bigram and of all trigrams that end in it are in one
+   bucket. Buckets are sent in `WAVES` parts, each written before the next is sent, to hold less on disk at a time.
+4. A bucket's row has its counts of counts; one pass gives the parts of the histories that are split over buckets, which are summed up.
 5. Every trigram's counts give its probability where it lies; sums go back by document.
 
+No cell is sent without a token in it, so rows and bytes are at most in proportion to the tokens, however many blocks and buckets there are.
+
 Defined results: a null or empty text is its end token alone; repeated rows train and score once each; without any training
 text the unknown word has probability 1; extra columns are not read. fold says which rows do not train.
 """
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +40,17 @@ from pyspark.sql import functions as F
 
 from plumbmark.llm.arrow_words import SPACES, mix, slices
 from plumbmark.llm.labelled import fold
-from plumbmark.llm.scratch import folder, keep
+from plumbmark.llm.scratch import drop, folder, keep
 from plumbmark.session import table
 
 DISCOUNTED = 5
-END, START, NONE = 0x0123456789ABCDEF, 0x0FEDCBA987654321, -1
-#: Of a bucket's row, one entry a block; sorted by the two words, then by the word before them.
-GRAMS = ("block", "before", "first", "second", "n_first", "n_second", "train", "runs", "places")
-#: Tokens of a bucket, about; bytes of text and rows of a block.
-BUCKET, BLOCK_BYTES, BLOCK_ROWS = 3_000_000, 12 << 20, 30_000
-#: Held-out documents of a block are numbered from here.
-HELD = 1 << 15
+END = 0x0123456789ABCDEF
+#: Numbers of what is no word: before a text's first word, a text's start, any unknown word. Words have numbers from WORD on, frequent ones the smaller.
+NONE, START, UNKNOWN, WORD = 0, 1, 2, 3
+#: Of a cell: its block, distinct words and their counts, three places among these of each token, documents, tokens of each, which are held out.
+CELL = ("block", "words", "n", "before", "first", "second", "docs", "runs", "held")
+#: Tokens of a bucket, about; bytes of text and rows of a block; parts in which buckets are sent.
+BUCKET, BLOCK_BYTES, BLOCK_ROWS, WAVES = 1_500_000, 12 << 20, 30_000, 4
 
 
 def _tokens(words) -> tuple[np.ndarray, np.ndarray]:
@@ -71,10 +76,10 @@ def count_words(docs: DataFrame) -> DataFrame:
             for _, _, w in slices(batch.column(0), SPACES):
                 parts.append(_tokens(w)[0])
                 held += len(parts[-1])
-                if held > 4_000_000:
+                if held > 2_000_000:
                     words, counts = merge()
                     parts, held = [], 0
-                if len(words) > 2_000_000:
+                if len(words) > 1_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], names=["word", "n"])
                     words, counts = words[:0], counts[:0]
         words, counts = merge()
@@ -120,9 +125,13 @@ class Model:
         return np.maximum(1, np.ceil(c / max(self.total, 1) * self.buckets * 2)).astype(np.int64)
 
 
+BLOCKS = "block binary, words binary, tokens binary, sizes binary, doc_ids array<long>, held array<boolean>"
+COUNTED = "block binary, words binary, n binary, tokens binary, sizes binary, doc_ids array<long>, held array<boolean>, known array<long>, base array<double>"
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """block, words (distinct hashes, ascending), tokens (places in words), sizes, and the documents of a block."""
-    schema = "block binary, words binary, tokens binary, sizes binary, doc_ids array<long>, held array<boolean>"
+    schema = BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -132,7 +141,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             sizes, ids = np.concatenate([np.diff(x[1]) for x in parts]), pa.chunked_array([x[2] for x in parts]).combine_chunks()
             held = pa.array(np.concatenate([x[3] for x in parts]))
             lists = [pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), x) for x in (ids, held)]
-            packed = [os.urandom(12), _pack(np.diff(words, prepend=0)), _pack(tokens.astype(np.uint32)), _pack(sizes.astype(np.uint32))]
+            packed = [os.urandom(12), _pack(np.diff(words, prepend=0)), _pack(tokens), _pack(sizes)]
             return pa.RecordBatch.from_arrays([*[pa.array([x], pa.binary()) for x in packed], *lists], names=[x.split()[0] for x in schema.split(", ")])
 
         parts, amount, rows = [], 0, 0
@@ -156,12 +165,19 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return len(values).to_bytes(4, "little") + pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True)
+    """Whole numbers in as many bytes as the largest needs, the lowest bytes of all first, compressed."""
+    bits = np.ascontiguousarray(values).astype(np.int64).view(np.uint8).reshape(-1, 8)
+    width = 8
+    while width > 1 and not bits[:, width - 1].any():
+        width -= 1
+    return len(bits).to_bytes(4, "little") + bytes([width]) + pa.compress(np.ascontiguousarray(bits[:, :width].T).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpack(data: bytes, kind) -> np.ndarray:
-    n = int.from_bytes(data[:4], "little")
-    return np.frombuffer(pa.decompress(data[4:], n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+def _unpack(data: bytes) -> np.ndarray:
+    n, width = int.from_bytes(data[:4], "little"), data[4]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(data[5:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view(np.int64).ravel()
 
 
 def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -169,133 +185,170 @@ def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(mix(a.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)).view(np.int64)
 
 
-def _counted(blocks: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
-    """block, words, n: the training count of each word of each block, in parts."""
+def _counted(blocks: DataFrame, counts: DataFrame, buckets: int, model: Model) -> DataFrame:
+    """The blocks, words being numbers now, with the training count of each, and each document's known words and base score."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = np.cumsum(_unpack(words, np.int64))
+                w = np.cumsum(_unpack(words))
                 of = w % buckets
                 found = [(int(b), w[of == b]) for b in np.unique(of)]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([block] * len(found), pa.binary()), pa.array([_pack(np.diff(x, prepend=0)) for _, x in found], pa.binary())], names=["bucket", "block", "words"])
 
     def answered(asks: pa.Table, known: pa.Table) -> pa.Table:
         known = known.sort_by("word")
-        w, n, out = known["word"].to_numpy(), known["n"].to_numpy(), []
+        w, n, out = known["word"].to_numpy(), known["n"].to_numpy(), {"n": [], "ids": []}
+        number = np.empty(len(w), np.int64)
+        number[np.lexsort((w, -n))] = WORD + np.arange(len(w)) * buckets + (known["bucket"][0].as_py() if len(w) else 0)
         for words in asks["words"].to_pylist():
-            own = np.cumsum(_unpack(words, np.int64))
+            own = np.cumsum(_unpack(words))
             at = np.minimum(np.searchsorted(w, own), max(len(w) - 1, 0))
-            out.append(_pack(np.where(w[at] == own, n[at], 0) if len(w) else np.zeros(len(own), np.int64)))
-        return pa.table({"block": asks["block"], "words": asks["words"], "n": pa.array(out, pa.binary())})
+            hit = w[at] == own if len(w) else np.zeros(len(own), bool)
+            for name, values, none in (("n", n, 0), ("ids", number, UNKNOWN)):
+                out[name].append(_pack(np.where(hit, values[at], none) if len(w) else np.full(len(own), none)))
+        return pa.table({"block": asks["block"], "words": asks["words"], **{c: pa.array(v, pa.binary()) for c, v in out.items()}})
+
+    def gathered(block: pa.Table, parts: pa.Table) -> pa.Table:
+        words, at, sizes = np.cumsum(_unpack(block["words"][0].as_py())), _unpack(block["tokens"][0].as_py()), _unpack(block["sizes"][0].as_py())
+        n, ids = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for w, c, d in zip(*(parts[c].to_pylist() for c in ("words", "n", "ids")), strict=True):
+            own = np.searchsorted(words, np.cumsum(_unpack(w)))
+            n[own], ids[own] = _unpack(c), _unpack(d)
+        ids, first, place = np.unique(ids, return_index=True, return_inverse=True)
+        n, at = n[first], place[at]
+        begin = np.cumsum(sizes) - sizes  # a text has its end token at least
+        known = np.add.reduceat((n > 0).astype(np.int64)[at], begin)
+        base = np.add.reduceat(np.log10((n + 1) / (model.total + model.types + 1))[at], begin)
+        lists = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+        for c, x in (("words", np.diff(ids, prepend=0)), ("tokens", at)):
+            block = block.set_column(block.schema.get_field_index(c), c, pa.array([_pack(x)], pa.binary()))
+        return block.append_column("n", pa.array([_pack(n)], pa.binary())).append_column("known", lists(known)).append_column("base", lists(base)).select([c.split()[0] for c in COUNTED.split(", ")])
 
     asks = blocks.select("block", "words").mapInArrow(asked, "bucket int, block binary, words binary")
     known = counts.withColumn("bucket", (F.col("word") % buckets).cast("int"))
-    return asks.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda a, b: answered(a, b), "block binary, words binary, n binary")
-
-
-def _grams(model: Model):
-    """A block's distinct trigrams by bucket: the words, the counts of the last two, how often they train and occur, and where."""
-
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        row = {c: docs[c][0].as_py() for c in ("block", "words", "tokens", "sizes")}
-        words, at, sizes = np.cumsum(_unpack(row["words"], np.int64)), _unpack(row["tokens"], np.uint32).astype(np.int64), _unpack(row["sizes"], np.uint32).astype(np.int64)
-        n = np.zeros(len(words) + 2, np.int64)
-        for w, c in zip(counts["words"].to_pylist(), counts["n"].to_pylist(), strict=True):
-            n[np.searchsorted(words, np.cumsum(_unpack(w, np.int64)))] = _unpack(c, np.int64)
-        none, start = len(words), len(words) + 1
-        n[start] = model.texts
-        words = np.concatenate([words, [NONE, START]])
-        begin = np.cumsum(sizes) - sizes
-        first, before = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-        first[1:] = at[:-1]
-        first[begin] = start
-        before[1:] = first[:-1]
-        before[begin] = none
-        held = docs["held"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        of = np.arange(len(sizes)) + HELD * held
-        place = np.repeat(of, sizes).astype(np.uint16)
-        with np.errstate(over="ignore"):
-            salt = mix(words.astype(np.uint64))[at] % model.share(n)[first].astype(np.uint64)
-            bucket = (_hash(words[first], salt).view(np.uint64) % np.uint64(model.buckets)).astype(np.int64)
-        pair = first * len(words) + at
-        order = np.lexsort((before, pair, bucket))
-        before, first, at, pair, bucket, place = (x[order] for x in (before, first, at, pair, bucket, place))
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-        out = {c: [] for c in ("bucket", *GRAMS)}
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            p, b = pair[i:j], before[i:j]
-            new = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (b[1:] != b[:-1])]))
-            u, v, w = before[i:j][new], first[i:j][new], at[i:j][new]
-            train = np.add.reduceat((place[i:j] < HELD).astype(np.int64), new)
-            out["bucket"].append(int(bucket[i]))
-            out["block"].append(row["block"])
-            for c, x in (("before", words[u]), ("first", np.diff(words[v], prepend=0)), ("second", np.diff(words[w], prepend=0)), ("n_first", n[v]), ("n_second", n[w]), ("train", train.astype(np.uint32)), ("runs", np.diff(np.append(new, j - i)).astype(np.uint32)), ("places", place[i:j])):
-                out[c].append(_pack(x))
-        return pa.table({"bucket": pa.array(out["bucket"], pa.int32()), **{c: pa.array(out[c], pa.binary()) for c in GRAMS}})
+    parts = asks.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda a, b: answered(a, b), "block binary, words binary, n binary, ids binary")
+    return blocks.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(lambda a, b: gathered(a, b), COUNTED)
+
+
+def _cells(model: Model, wave: int):
+    """Of each block, the trigrams of the wave's buckets: a row a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+            words, at, sizes = np.cumsum(_unpack(row["words"])), _unpack(row["tokens"]) + 2, _unpack(row["sizes"])
+            n = np.append([0, model.texts], _unpack(row["n"]))
+            none, start, words = 0, 1, np.append([NONE, START], words)
+            begin = np.cumsum(sizes) - sizes
+            first, before = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+            first[1:] = at[:-1]
+            first[begin] = start
+            before[1:] = first[:-1]
+            before[begin] = none
+            share = model.share(n)
+            # the bucket of a word that isn't split is its own; of one that is, it goes by the word after it
+            bucket = (_hash(words, np.zeros(len(words), np.int64)).view(np.uint64) % np.uint64(model.buckets)).astype(np.int32)[first]
+            hot = np.flatnonzero((share > 1)[first])
+            with np.errstate(over="ignore"):
+                salt = mix(words[at[hot]].astype(np.uint64)) % share[first[hot]].astype(np.uint64)
+            bucket[hot] = (_hash(words[first[hot]], salt).view(np.uint64) % np.uint64(model.buckets)).astype(np.int32)
+            own = np.flatnonzero(bucket % WAVES == wave)
+            own = own[np.argsort(bucket[own].astype(np.uint16) if model.buckets < 1 << 16 else bucket[own], kind="stable")]
+            of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[own][1:] != bucket[own][:-1], [True]])) if len(own) else np.zeros(1, np.int64)
+            held, out = np.array(row["held"], bool), {c: [] for c in ("bucket", *CELL)}
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                t = own[i:j]
+                used = np.zeros(len(words), bool)
+                for x in (before, first, at):
+                    used[x[t]] = True
+                place = np.cumsum(used) - 1
+                docs = of[t]
+                new = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+                docs = docs[new]
+                out["bucket"].append(int(bucket[t[0]]))
+                out["block"].append(row["block"])
+                for c, x in (("words", np.diff(words[used], prepend=0)), ("n", n[used]), ("before", place[before[t]]), ("first", place[first[t]]), ("second", place[at[t]]), ("docs", np.diff(docs, prepend=0)), ("runs", np.diff(np.append(new, j - i))), ("held", held[docs])):
+                    out[c].append(_pack(x))
+            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), *[pa.array(out[c], pa.binary()) for c in CELL]], names=["bucket", *CELL])
 
     return run
 
 
 class Bucket:
-    """The trigrams of a bucket's row: counts of the distinct ones, and where each block's entries are among them."""
-
-    def __init__(self, lists: dict[str, list[bytes]], model: Model):
-        # the differences wrap around, as the sums do
-        u = np.concatenate([_unpack(x, np.int64) for x in lists["before"]])
-        v, w = (np.concatenate([np.cumsum(_unpack(x, np.int64)) for x in lists[c]]) for c in ("first", "second"))
-        train = np.concatenate([_unpack(x, np.uint32) for x in lists["train"]]).astype(np.int64)
-        n_first, n_second = (np.concatenate([_unpack(x, np.int64) for x in lists[c]]) for c in ("n_first", "n_second"))
-        history, pair = _hash(u, v), _hash(v, w)
-        _, one, self.at = np.unique(_hash(history, w), return_index=True, return_inverse=True)
-        self.three = np.bincount(self.at, train, len(one)).astype(np.int64)
-        # a text's first word has no trigram
-        self.whole = u[one] != NONE
-        pairs, first, at = np.unique(pair[one], return_index=True, return_inverse=True)
-        self.two_of = np.bincount(at, self.three, len(pairs)).astype(np.int64)
-        self.two, self.one_of_pair = self.two_of[at], first
+    """The trigrams of a bucket: counts of the distinct ones (by history, then word), and which of them each token is."""
+
+    def __init__(self, cells: dict[str, list[bytes]], model: Model, split_only: bool = False):
+        words = [np.cumsum(_unpack(x)) for x in cells["words"]]
+        w, at = np.unique(np.concatenate(words), return_inverse=True)
+        n, places = np.zeros(len(w), np.int64), np.split(at, np.cumsum([len(x) for x in words])[:-1])
+        for place, x in zip(places, cells["n"], strict=True):
+            n[place] = _unpack(x)
+        u, v, x = (np.concatenate([place[_unpack(c)] for place, c in zip(places, cells[name], strict=True)]) for name in ("before", "first", "second"))
+        self.cells = [int(_unpack(c).sum()) for c in cells["runs"]]
+        train = np.concatenate([np.repeat(_unpack(h) == 0, _unpack(r)) for h, r in zip(cells["held"], cells["runs"], strict=True)])
+        if split_only:
+            use = (model.share(n) > 1)[v]
+            u, v, x, train = u[use], v[use], x[use], train[use]
+        k = len(w)
+        history = u * k + v
+        if k < 1 << 20:
+            gram, self.at = np.unique(history * k + x, return_inverse=True)
+            history, x = gram // k, gram % k
+        else:
+            known, place = np.unique(history, return_inverse=True)
+            gram, self.at = np.unique(place * k + x, return_inverse=True)
+            history, x = known[gram // k], gram % k
+        u, v = history // k, history % k
+        self.three = np.bincount(self.at, train, len(gram)).astype(np.int64)
+        self.whole = w[u] != NONE  # a text's first word has no trigram
+        self.pairs, at = np.unique(v * k + x, return_inverse=True)
+        self.two_of = np.bincount(at, self.three, len(self.pairs)).astype(np.int64)
+        self.two = self.two_of[at]
         self.three[~self.whole] = 0
-        self.v, self.n_first, self.n_second, self.history = v[one], n_first[one], n_second[one], history[one]
+        self.v, self.n_first, self.n_second, self.history = w[v], n[v], n[x], history
+        self.names = _hash(w[u], w[v])
+        of, last = self.pairs // k, self.pairs % k
+        self.of_pair, self.n_of_pair, self.n_last = w[of], n[of], n[last]
         self.split = model.share(self.n_first) > 1
 
     def words_seen(self, model: Model):
-        """(histories of one word, where each pair's is, took, mass, split) over the pairs seen."""
-        one = self.one_of_pair
-        h, first, at = np.unique(self.v[one], return_index=True, return_inverse=True)
-        seen = self.two_of > 0
+        """(histories of one word, took, mass, split) over the pairs seen."""
+        h, first, at = np.unique(self.of_pair, return_index=True, return_inverse=True)
         took = np.bincount(at, model.discounted(2, self.two_of), len(h))
-        mass = np.bincount(at, np.where(seen, model.unigram(self.n_second[one]), 0.0), len(h))
-        return h, took, mass, self.split[one][first]
+        mass = np.bincount(at, np.where(self.two_of > 0, model.unigram(self.n_last), 0.0), len(h))
+        return h, took, mass, model.share(self.n_of_pair[first]) > 1
 
     def pairs_seen(self, model: Model):
-        """(histories of two words, where each trigram's is, n, took, mass, split) over the trigrams seen."""
-        h, first, at = np.unique(self.history, return_index=True, return_inverse=True)
-        seen = self.three > 0
-        n = np.bincount(at, self.three, len(h))
-        took = np.bincount(at, model.discounted(3, self.three), len(h))
-        mass = np.bincount(at, np.where(seen, model.discounted(2, self.two) / (self.n_first + 1.0), 0.0), len(h))
-        return h, at, n, took, mass, self.split[first]
+        """(names of the histories of two words, where each trigram's is, n, took, mass, split) over the trigrams seen."""
+        new = np.flatnonzero(np.concatenate([[True], self.history[1:] != self.history[:-1]])) if len(self.history) else np.zeros(0, np.int64)
+        at = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(self.history))))
+        n = np.bincount(at, self.three, len(new))
+        took = np.bincount(at, model.discounted(3, self.three), len(new))
+        mass = np.bincount(at, np.where(self.three > 0, model.discounted(2, self.two) / (self.n_first + 1.0), 0.0), len(new))
+        return self.names[new], at, n, took, mass, self.split[new]
 
 
-def _rows(batch) -> Iterator[tuple[int, dict[str, list[bytes]]]]:
-    for row in range(batch.num_rows):
-        one = batch.slice(row, 1).to_pylist()[0]
-        yield one["bucket"], one
+GRAMS = "bucket int, " + ", ".join(f"{c} array<binary>" for c in CELL) + ", seen array<long>"
 
 
-def _counts_of_counts(grams: DataFrame, model: Model) -> list[np.ndarray]:
-    """The discounts of pairs and of trigrams."""
-    names = [f"{k}{r}" for k in ("two", "three") for r in range(1, DISCOUNTED + 2)]
+def _packed(model: Model):
+    """A bucket's cells in a row, with the numbers of pairs and of trigrams seen 1 .. DISCOUNTED + 1 times."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, lists in _rows(batch):
-                b = Bucket(lists, model)
-                of = [np.bincount(np.minimum(x, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2] for x in (b.two_of, b.three)]
-                yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in np.concatenate(of)], names=names)
+    def run(t: pa.Table) -> pa.Table:
+        cells = {c: t[c].to_pylist() for c in CELL}
+        b = Bucket(cells, model)
+        seen = np.concatenate([np.bincount(np.minimum(x, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2] for x in (b.two_of, b.three)])
+        return pa.table({"bucket": t["bucket"].slice(0, 1), **{c: pa.array([v], pa.list_(pa.binary())) for c, v in cells.items()}, "seen": pa.array([seen.tolist()], pa.list_(pa.int64()))})
+
+    return run
 
-    row = grams.mapInArrow(run, ", ".join(f"{c} long" for c in names)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
-    return [discounts({r: int(row[f"{k}{r}"]) for r in range(1, DISCOUNTED + 2)}) for k in ("two", "three")]
+
+def _discounts(grams: DataFrame) -> list[np.ndarray]:
+    """Of pairs and of trigrams."""
+    k = DISCOUNTED + 1
+    row = grams.select("seen").agg(*[F.coalesce(F.sum(F.col("seen")[i]), F.lit(0)).alias(f"s{i}") for i in range(2 * k)]).first()
+    return [discounts({r: int(row[o * k + r - 1]) for r in range(1, k + 1)}) for o in (0, 1)]
 
 
 def _split_histories(grams: DataFrame, model: Model) -> DataFrame:
@@ -303,14 +356,13 @@ def _split_histories(grams: DataFrame, model: Model) -> DataFrame:
     names = ["bucket", "pair", "history", "n", "took", "mass"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, lists in _rows(batch):
-                b = Bucket(lists, model)
-                h, took, mass, split = b.words_seen(model)
-                h2, _, n2, took2, mass2, split2 = b.pairs_seen(model)
-                for pair, cols, use in ((False, (h, np.zeros(len(h)), took, mass), split & (took > 0)), (True, (h2, n2, took2, mass2), split2)):
-                    k = int(use.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, bucket, np.int32)), pa.array(np.full(k, pair)), *[pa.array(x[use]) for x in cols]], names=names)
+        for cells in (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+            b = Bucket(cells, model, split_only=True)
+            h, took, mass, _ = b.words_seen(model)
+            h2, _, n2, took2, mass2, _ = b.pairs_seen(model)
+            for pair, cols, use in ((False, (h, np.zeros(len(h)), took, mass), took > 0), (True, (h2, n2, took2, mass2), np.ones(len(h2), bool))):
+                k = int(use.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, cells["bucket"], np.int32)), pa.array(np.full(k, pair)), *[pa.array(x[use].astype(t)) for x, t in zip(cols, (np.int64, np.float64, np.float64, np.float64), strict=True)]], names=names)
 
     return grams.mapInArrow(run, "bucket int, pair boolean, history long, n double, took double, mass double")
 
@@ -320,55 +372,47 @@ def _log_alpha(took, n, mass):
 
 
 def _scores(model: Model):
-    """block, places, score, base, known: the sums of a bucket for each document of each block."""
+    """block, docs, score: the sums of a bucket for each document of each block."""
 
     def run(t: pa.Table, split: pa.Table) -> pa.Table:
-        lists = {c: [] for c in GRAMS}
-        for row in t.to_pylist():
-            for c in GRAMS:
-                lists[c] += row[c]
-        out = {k: [] for k in ("places", "score", "base", "known")}
-        if lists["block"]:
-            b = Bucket(lists, model)
+        blocks, docs_of, sums = [], [], []
+        for cells in t.select([*CELL]).to_pylist():
+            b = Bucket(cells, model)
             h, took, mass, _ = b.words_seen(model)
             at = np.searchsorted(h, b.v)
-            took, mass = took[at], mass[at]
-            for word, sums in model.hot.items():
+            for word, known in model.hot.items():
                 i = np.searchsorted(h, word)
                 if i < len(h) and h[i] == word:
-                    took[at == i], mass[at == i] = sums
-            low = _log_alpha(took, b.n_first, mass) + np.log10(model.unigram(b.n_second))
+                    took[i], mass[i] = known
+            low = _log_alpha(took[at], b.n_first, mass[at]) + np.log10(model.unigram(b.n_second))
             mid = np.where(b.two > 0, np.log10(np.where(b.two > 0, model.discounted(2, b.two) / (b.n_first + 1.0), 1.0)), low)
             h, at, n, took, mass, _ = b.pairs_seen(model)
             if len(split):
-                own = np.searchsorted(h, split["history"].to_numpy())
+                order = np.argsort(h)
+                own = order[np.searchsorted(h, split["history"].to_numpy(), sorter=order)]
                 n[own], took[own], mass[own] = (split[c].to_numpy() for c in ("n", "took", "mass"))
             top = np.log10(np.where(b.three > 0, model.discounted(3, b.three) / (n[at] + 1.0), 1.0))
             score = np.where(b.three > 0, top, np.where(b.whole, _log_alpha(took, n, mass)[at], 0.0) + mid)
-            base, known, lo = np.log10((b.n_second + 1) / (model.total + model.types + 1)), b.n_second > 0, 0
-            for runs, places in zip(lists["runs"], lists["places"], strict=True):
-                runs, places = _unpack(runs, np.uint32), _unpack(places, np.uint16)
-                own = np.repeat(b.at[lo : lo + len(runs)], runs)
-                lo += len(runs)
-                doc, of = np.unique(places, return_inverse=True)
-                out["places"].append(doc.tobytes())
-                for name, v, kind in (("score", score, np.float64), ("base", base, np.float64), ("known", known, np.uint32)):
-                    out[name].append(pa.compress(np.bincount(of, v[own], len(doc)).astype(kind).tobytes(), codec="zstd", asbytes=True))
-        return pa.table({"block": pa.array(lists["block"], pa.binary()), **{k: pa.array(v, pa.binary()) for k, v in out.items()}})
+            lo = 0
+            for block, docs, runs, size in zip(cells["block"], cells["docs"], cells["runs"], b.cells, strict=True):
+                runs = _unpack(runs)
+                blocks.append(block)
+                docs_of.append(docs)
+                sums.append(np.add.reduceat(score[b.at[lo : lo + size]], np.cumsum(runs) - runs).tobytes())
+                lo += size
+        return pa.table({"block": pa.array(blocks, pa.binary()), "docs": pa.array(docs_of, pa.binary()), "score": pa.array(sums, pa.binary())})
 
     return run
 
 
 def _gather(docs: pa.Table, sums: pa.Table) -> pa.Table:
     """The rows of a block's documents, the sums of all buckets added."""
-    ids, held = (docs[c].combine_chunks().flatten() for c in ("doc_ids", "held"))
-    sizes = _unpack(docs["sizes"][0].as_py(), np.uint32).astype(np.int64)
-    total = {"score": np.zeros(len(sizes)), "base": np.zeros(len(sizes)), "known": np.zeros(len(sizes))}
+    lists = {c: docs[c].combine_chunks().flatten() for c in ("doc_ids", "held", "known", "base")}
+    sizes = _unpack(docs["sizes"][0].as_py())
+    total = np.zeros(len(sizes))
     for row in sums.to_pylist():
-        at = np.frombuffer(row["places"], np.uint16) % HELD
-        for name, kind in (("score", np.float64), ("base", np.float64), ("known", np.uint32)):
-            total[name][at] += np.frombuffer(pa.decompress(row[name], len(at) * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
-    return pa.table({"doc_id": ids, "held_out": held, "n_tokens": pa.array(sizes), "n_known": pa.array(total["known"].astype(np.int64)), "base_score": pa.array(total["base"]), "score": pa.array(total["score"])})
+        total[np.cumsum(_unpack(row["docs"]))] += np.frombuffer(row["score"], np.float64)
+    return pa.table({"doc_id": lists["doc_ids"], "held_out": lists["held"], "n_tokens": pa.array(sizes), "n_known": lists["known"], "base_score": lists["base"], "score": pa.array(total)})
 
 
 def score(docs: DataFrame, held: Column) -> DataFrame:
@@ -385,22 +429,27 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
     low = [(r, by_count[r]) for r in range(1, DISCOUNTED + 1)]
     known = sum(n * float(model.discounted(1, np.array([r]))[0]) for r, n in low) + total - sum(n * r for r, n in low)
     model.unknown = max(1 - known / (total + 1), 1e-300)
-    blocks = keep(_blocks(rows), path, "blocks")
-    asked = _counted(blocks, counts, buckets)
-    schema = "bucket int, " + ", ".join(f"{c} binary" for c in GRAMS)
-    found = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda a, b: _grams(model)(a, b), schema)
+    blocks = keep(_counted(keep(_blocks(rows), path, "blocks"), counts, buckets, model), path, "counted")
+    drop(spark, path, "blocks", "unigrams")
     # a row a bucket, so that the passes over it need no further shuffle
-    lists = "bucket int, " + ", ".join(f"{c} array<binary>" for c in GRAMS)
-    packed = lambda t: pa.table({"bucket": t["bucket"].slice(0, 1), **{c: pa.array([t[c].to_pylist()], pa.list_(pa.binary())) for c in GRAMS}})
-    grams = keep(found.groupBy("bucket").applyInArrow(lambda t: packed(t), lists), path, "grams")
-    model.discount += _counts_of_counts(grams, model)
+    sent = "bucket int, " + ", ".join(f"{c} binary" for c in CELL)
+    waves = [keep(blocks.mapInArrow(_cells(model, i), sent).groupBy("bucket").applyInArrow(lambda t: _packed(model)(t), GRAMS), path, f"grams-{i}") for i in range(WAVES)]
+    grams = reduce(DataFrame.unionByName, waves)
+    heads = keep(blocks.select("block", "doc_ids", "held", "sizes", "known", "base"), path, "heads")
+    drop(spark, path, "counted")
+    model.discount += _discounts(grams)
     parts = keep(_split_histories(grams, model), path, "split")
     one = parts.where("NOT pair").groupBy("history").agg(F.sum("took").alias("took"), F.sum("mass").alias("mass"))
     model.hot = {r.history: (r.took, r.mass) for r in one.collect()}  # fewer than two a bucket
     two = parts.where("pair").groupBy("history").agg(*[F.sum(c).alias(c) for c in ("n", "took", "mass")], F.collect_list("bucket").alias("buckets"))
     split = two.select(F.explode("buckets").alias("bucket"), "history", "n", "took", "mass")
-    sums = grams.groupBy("bucket").cogroup(split.groupBy("bucket")).applyInArrow(lambda a, b: _scores(model)(a, b), "block binary, places binary, score binary, base binary, known binary")
-    heads = blocks.select("block", "doc_ids", "held", "sizes")
+    sums = None
+    for i, wave in enumerate(waves):
+        own = split.where(F.col("bucket") % WAVES == i)
+        one = keep(wave.drop("seen").groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(lambda a, b: _scores(model)(a, b), "block binary, docs binary, score binary"), path, f"sums-{i}")
+        sums = one if sums is None else sums.unionByName(one)
+        drop(spark, path, f"grams-{i}")
+    drop(spark, path, "split")
     found = heads.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(lambda a, b: _gather(a, b), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
