@@ -23,9 +23,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbmark.llm.scratch import unused
 from plumbmark.session import table
 
-KEY = "plumbmark pseudonyms 1"
+#: The session's setting that holds the key. Whoever has the key can undo pseudonyms, so it is to be a secret of the job; without it,
+#: as in tests, a key is taken that is none.
+KEY_SETTING, TEST_KEY = "spark.plumbmark.pii.key", "not a secret: set spark.plumbmark.pii.key"
 ROUNDS = 8
 
 #: Fixed patterns, in the order in which they are tried at a place.
@@ -45,11 +48,21 @@ SIGN = r"@|[0-9]{2}|[0-9]\.|[0-9a-fA-F]{32}"
 DAYS_FROM, DAYS_A, DAYS_B = "1800-01-01", 189, 773  # 189 * 773 = 146097, the days of 400 years
 
 
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or TEST_KEY
+
+
+def _keyed(key: str, *parts: Column) -> Column:
+    """SHA-256 of the parts between two copies of the key, as hex digits."""
+    return F.sha2(F.concat_ws("\n", F.lit(key), *[p.cast("string") for p in parts], F.lit(key)), 256)
+
+
 def _hash(key: str, kind: Column, round_: int, half: Column, below: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(key), kind, F.lit(round_), half), below)
+    """The first 60 bits of the keyed hash, below a bound that is far smaller."""
+    return F.pmod(F.conv(F.substring(_keyed(key, kind, F.lit(round_), half), 1, 15), 16, 10).cast("long"), below)
 
 
-def permute(left: Column, right: Column, a: Column, b: Column, kind: Column, key: str = KEY, back: bool = False) -> tuple[Column, Column]:
+def permute(left: Column, right: Column, a: Column, b: Column, kind: Column, key: str, back: bool = False) -> tuple[Column, Column]:
     """(left, right) below (a, b), permuted; back undoes it. Halves that aren't changed in a round aren't hashed again."""
     state = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
     sign = -1 if back else 1
@@ -74,7 +87,7 @@ def _power(base: int, n: Column) -> Column:
     return F.element_at(F.lit([base**i for i in range(19)]), n + 1)
 
 
-def permute_digits(digits: Column, kind: Column, key: str = KEY, back: bool = False) -> Column:
+def permute_digits(digits: Column, kind: Column, key: str, back: bool = False) -> Column:
     """A string of 2 to 36 digits as another of its length."""
 
     def run(s: Column) -> Column:
@@ -195,7 +208,7 @@ def _ssn(x: Column, key: str, back: bool) -> Column:
 
 
 def _email(x: Column, key: str, back: bool) -> Column:
-    hidden = lambda part, tag: F.lower(F.hex(F.xxhash64(F.lit(key), F.lit(tag), part)))
+    hidden = lambda part, tag: F.substring(_keyed(key, F.lit(tag), part), 1, 16)
     return F.concat(hidden(F.lower(x), "name"), F.lit("@"), hidden(F.lower(F.substring_index(x, "@", -1)), "host"), F.lit(".invalid"))
 
 
@@ -211,16 +224,16 @@ def kind_of(find: Column) -> Column:
     return out
 
 
-def pseudonym(find: Column, kind: Column, key: str = KEY, back: bool = False) -> Column:
+def pseudonym(find: Column, kind: Column, key: str, back: bool = False) -> Column:
     out = None
     for name, way in _WAYS.items():
         out = (F if out is None else out).when(kind == name, way(find, key, back))
     return out.otherwise(find)
 
 
-def scan(docs: DataFrame, text: str = "text", key: str = KEY, back: bool = False) -> DataFrame:
-    """docs with `pii`, an array of (kind, found, pseudonym) in order, what was not validated left out of account, and `clean_text`."""
-    col = F.col(text)
+def scan(docs: DataFrame, key: str | None = None, text: str = "text", back: bool = False) -> DataFrame:
+    """docs with `pii`, an array of (kind, found, pseudonym) in order, what was not validated left out of account; by the session's key if none is given."""
+    key, col = key or session_key(docs.sparkSession), F.col(text)
     finds = F.when(col.rlike(SIGN), F.regexp_extract_all(col, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
     marked = F.transform(finds, lambda f: _let(F.struct(f.alias("found"), kind_of(f).alias("kind")), lambda s: F.struct(s["kind"].alias("kind"), s["found"].alias("found"), pseudonym(s["found"], s["kind"], key, back).alias("pseudonym"))))
     return docs.withColumn("pii", marked)
@@ -233,10 +246,12 @@ def rebuilt(text: Column, pii: Column) -> Column:
     return F.when(text.isNull() | (F.size(pii) == 0), text).otherwise(joined)
 
 
-def redact(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def redact(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
     """docs with the finds of `text` replaced; all columns as before."""
-    found = scan(docs.withColumnsRenamed({"pii": "_own_pii"}) if "pii" in docs.columns else docs, text, key)
-    return found.withColumn(text, rebuilt(F.col(text), F.col("pii"))).drop("pii").withColumnsRenamed({"_own_pii": "pii"}).select(*[f"`{c}`" for c in docs.columns])
+    own = unused(docs, "_own_pii")
+    found = scan(docs.withColumnsRenamed({c: own for c in docs.columns if c.lower() == "pii"}), key, text)
+    columns = [found[own if c.lower() == "pii" else c].alias(c) if c != text else rebuilt(F.col(text), F.col("pii")).alias(c) for c in docs.columns]
+    return found.select(*columns)
 
 
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
