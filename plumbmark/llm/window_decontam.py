@@ -2,15 +2,16 @@ r"""Benchmark decontamination by a prefix-filtered set join.
 
 An item is a set of windows: each run of `WINDOW` consecutive item words, or all of its words if they are fewer. A window
 is contained in a document if its words stand there in a row. Containment is asked for whole, so by the prefix principle
-one token of a window is enough to look for: the rarest, its shingle of `SHINGLE` words whose rarest word is
-rarest among all documents (ties: the smaller word, then the smaller offset). That order is counted over all documents.
+one token of a window is enough to look for: its word that is rarest among all documents (ties: the smaller word, then the
+smaller offset). That order is counted over all documents.
 
 Document positions that hold a prefix word are joined with the windows on that word; a length bound
 and a positional bound (the window must fit between the document's first and last word) go before the exact
 comparison of all words. Only positions that hold such a word leave the document's row, each with the words around
 it, so that no document is shuffled; what is shuffled is one partial result a document and task.
 
-The item side is broadcast while its size is within a checked bound; beyond it the same join shuffles by the prefix word.
+The item side is broadcast while both its words and its windows are within checked bounds; beyond them the same join shuffles by
+the prefix word, and gives the same rows.
 
 Defined results: null or wordless texts have no words and no hits; wordless items have no window; rows that
 repeat a doc_id and text have that text's result each, and so have rows that repeat only the doc_id; an
@@ -22,14 +23,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbmark.llm.scratch import folder, keep, unused
 from plumbmark.session import table
 
 WINDOW = 10
 #: Fixed pattern of what stands between words: all ASCII but digits, A-Z and a-z.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Distinct words of the items up to which the filter on words is part of each task's code, and windows are broadcast.
-BROADCAST_WORDS = 100_000
+#: Distinct words of the items up to which the filter on words is part of each task's code, and bytes of windows up to which they are broadcast.
+BROADCAST_WORDS, BROADCAST_BYTES = 100_000, 64 << 20
+#: Documents that may be contaminated are found by the hash of their key, in so many positions; a table of at most so many rows is broadcast.
+POSITIONS = 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -70,7 +74,7 @@ def spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     ranked = placed.join(counts, "word", "left").groupBy("item_id", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("rare"))
     prefixes = ranked.where(F.col("rare.n") > 0).select("item_id", F.col("words").alias("item_words"), F.col("rare.word").alias("word"), F.col("rare.offset").alias("offset"))
     if vocabulary is not None:
-        prefixes = prefixes.persist()  # a few rows an item word at most; read for the list of words and for the join
+        prefixes = keep(prefixes, folder(docs.sparkSession), "prefixes")
         wanted = [r[0] for r in prefixes.select("word").distinct().toLocalIterator()]
     else:
         wanted = None
@@ -83,7 +87,9 @@ def spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     start = F.col("at") - F.col("offset")
     fits = (places["word"] == prefixes["word"]) & (start >= 0) & (start + length <= F.col("n_words"))
     same = F.slice("near", F.greatest(start - F.col("from") + 1, F.lit(1)), length) == F.col("item_words")
-    side = F.broadcast(prefixes) if vocabulary is not None else prefixes
+    # a window's words, and about a hundred bytes for its row
+    size = prefixes.agg(F.coalesce(F.sum(F.length(F.array_join("item_words", " ")) + 100), F.lit(0))).first()[0] if vocabulary is not None else BROADCAST_BYTES + 1
+    side = F.broadcast(prefixes) if size <= BROADCAST_BYTES else prefixes
     joined = places.join(side, fits & same, "left")
     hit = F.when(F.col("item_id").isNotNull(), F.struct(start.alias("start"), length.alias("length"), "item_id"))
     return joined.select("doc_id", "text_hash", "n_words", hit.alias("hit"))
@@ -114,10 +120,16 @@ def summary(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFram
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs in whose text no window occurs, all columns kept."""
-    bad = spans(docs, items, window).where(F.col("hit").isNotNull()).select("doc_id", "text_hash").distinct().withColumnsRenamed({"doc_id": "_bad_id", "text_hash": "_bad_hash"})
-    same = docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_bad_hash"])
-    return docs.join(bad, same, "left_anti")
+    """The rows of docs in whose text no window occurs, all columns kept. Only texts that may have one are shuffled."""
+    key = unused(docs, "_key")
+    bad = spans(docs, items, window).where(F.col("hit").isNotNull()).select(F.xxhash64("doc_id", "text_hash").alias("_bad")).distinct()
+    bad = keep(bad, folder(docs.sparkSession), "bad")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(POSITIONS)).cast("int")
+    taken = F.broadcast(bad.select(place("_bad").alias("_place")).distinct())
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
+    sure = keyed.join(taken, place(key) == taken["_place"], "left_anti")
+    maybe = keyed.join(taken, place(key) == taken["_place"], "left_semi").join(bad, F.col(key) == F.col("_bad"), "left_anti")
+    return sure.unionByName(maybe).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_window_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
