@@ -42,9 +42,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # \n stands for a line end only after an even number of backslashes: hide the doubled ones first
-    hidden = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00\x01"))
-    return F.replace(F.replace(hidden, F.lit("\\n"), F.lit("\n")), F.lit("\x00\x01"), F.lit("\\"))
+    # each backslash opens an escape, so what stands between doubled ones is undone part by part
+    parts = F.split(unescape(role), r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def reconstruct(log: DataFrame) -> DataFrame:
