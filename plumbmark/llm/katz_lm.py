@@ -236,11 +236,11 @@ def _cells(model: Model, wave: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-            words, at, sizes = np.cumsum(_unpack(row["words"])), _unpack(row["tokens"]) + 2, _unpack(row["sizes"])
+            words, at, sizes = np.cumsum(_unpack(row["words"])), _unpack(row["tokens"]).astype(np.int32) + np.int32(2), _unpack(row["sizes"])
             n = np.append([0, model.texts], _unpack(row["n"]))
             none, start, words = 0, 1, np.append([NONE, START], words)
             begin = np.cumsum(sizes) - sizes
-            first, before = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+            first, before = np.empty(len(at), np.int32), np.empty(len(at), np.int32)
             first[1:] = at[:-1]
             first[begin] = start
             before[1:] = first[:-1]
@@ -284,14 +284,15 @@ class Bucket:
         n, places = np.zeros(len(w), np.int64), np.split(at, np.cumsum([len(x) for x in words])[:-1])
         for place, x in zip(places, cells["n"], strict=True):
             n[place] = _unpack(x)
-        u, v, x = (np.concatenate([place[_unpack(c)] for place, c in zip(places, cells[name], strict=True)]) for name in ("before", "first", "second"))
+        u, v, x = (np.concatenate([place[_unpack(c)] for place, c in zip(places, cells[name], strict=True)]).astype(np.int32) for name in ("before", "first", "second"))
         self.cells = [int(_unpack(c).sum()) for c in cells["runs"]]
         train = np.concatenate([np.repeat(_unpack(h) == 0, _unpack(r)) for h, r in zip(cells["held"], cells["runs"], strict=True)])
         if split_only:
             use = (model.share(n) > 1)[v]
             u, v, x, train = u[use], v[use], x[use], train[use]
         k = len(w)
-        history = u * k + v
+        history = u.astype(np.int64) * k + v
+        del u, v
         if k < 1 << 20:
             gram, self.at = np.unique(history * k + x, return_inverse=True)
             history, x = gram // k, gram % k
@@ -300,6 +301,7 @@ class Bucket:
             gram, self.at = np.unique(place * k + x, return_inverse=True)
             history, x = known[gram // k], gram % k
         u, v = history // k, history % k
+        self.at = self.at.astype(np.int32)
         self.three = np.bincount(self.at, train, len(gram)).astype(np.int64)
         self.whole = w[u] != NONE  # a text's first word has no trigram
         self.pairs, at = np.unique(v * k + x, return_inverse=True)

@@ -322,6 +322,48 @@ def test_pii(spark, odd):
     assert sorted(map(str, feistel_pii.redact(odd).collect())) == sorted(map(str, odd.collect()))
 
 
+def test_pii_key(spark):
+    """Another key gives other pseudonyms; equal values under one key equal ones; a column called pii is kept."""
+    df = spark.createDataFrame([(1, "call 212-555-0100 or 212-555-0100, 4539578763621486", 7)], "doc_id long, text string, pii int")
+    one, two = (feistel_pii.redact(df, k).first() for k in ("key a", "key b"))
+    assert one.text != two.text != df.first().text and one.pii == 7 and one.text == feistel_pii.redact(df, "key a").first().text
+    assert len(set(re.findall(r"[0-9]{3}-[0-9]{3}-[0-9]{4}", one.text))) == 1
+
+
+def test_roles_are_exact(spark):
+    """Roles with line ends, backslashes in any number and control strings come back as they were."""
+    roles = ["user", "a\nb", "a\\nb", "\\", "\\\\", "\\\n", "\\\\n", "\x00\x01", "<|im_end|>\n", "<\\|x", "", " "]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(roles)], "i int, role string")
+    got = df.select("i", chat_format.unescape_role(chat_format.escape_role(F.col("role"))).alias("r"), chat_format.escape_role(F.col("role")).alias("e")).orderBy("i").collect()
+    assert [r.r for r in got] == roles and not any("\n" in r.e or "<|" in r.e for r in got)
+
+
+def test_toxicity_names_do_not_clash(spark, docs):
+    """A column of documents called as the score is kept, whatever it holds."""
+    model = text_cnn.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    own = docs.limit(20).withColumn("toxicity", F.lit(42.0)).withColumn("Toxicity_", F.lit("x"))
+    got = text_cnn.reject(own, model)
+    assert got.columns == own.columns and {(r.toxicity, r.Toxicity_) for r in got.collect()} == {(42.0, "x")}
+
+
+def test_convolution_by_hand(spark):
+    """The logits of the classifier, against a loop over words, taps and filters."""
+    rng = np.random.default_rng(1)
+    w = lambda *s: rng.normal(0, 1, s).astype(np.float32)
+    k = text_cnn.FILTERS * len(text_cnn.WIDTHS)
+    m = text_cnn.Model(w(50, text_cnn.CHANNELS), w(40, text_cnn.CHANNELS), {x: w(x, 2 * text_cnn.CHANNELS, text_cnn.FILTERS) for x in text_cnn.WIDTHS}, w(k), w(k), 0.3)
+    sizes = [0, 1, 2, 7]
+    word, stem, bounds = rng.integers(0, 50, 10), rng.integers(0, 40, 10), np.concatenate([[0], np.cumsum(sizes)])
+    want = []
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        e, hidden = [np.concatenate([m.word[word[i]], m.stem[stem[i]]]) for i in range(a, b)], []
+        for width in text_cnn.WIDTHS:
+            for f in range(text_cnn.FILTERS):
+                hidden.append(max((sum(float(e[i + t] @ m.filters[width][t, :, f]) for t in range(width) if i + t < len(e)) for i in range(len(e))), default=0.0))
+        want.append(np.maximum(np.array(hidden) + m.bias, 0) @ m.dense + m.offset)
+    assert m.logits(word, stem, bounds, m.tables()) == pytest.approx(want, rel=1e-4)
+
+
 def test_pii_luhn(spark):
     assert spark.range(1).select(feistel_pii.luhn_sum(F.lit("4539578763621486")).alias("s")).first().s % 10 == 0
 
