@@ -35,9 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbmark.llm.arrow_words import SPACES, mix, slices
+from plumbmark.llm.arrow_words import SPACES, mix, release, slices
 from plumbmark.llm.components import components
-from plumbmark.llm.scratch import drop, folder, keep, unused
+from plumbmark.llm.scratch import bounded_batches, drop, folder, keep, unused
 from plumbmark.session import table
 
 WORDS, PERCENT = 5, 75
@@ -121,6 +121,7 @@ def _identity(docs: DataFrame, size: int) -> DataFrame:
         k, none = len(some), pa.nulls(len(some), pa.int64())
         task = pa.array(np.full(k, TaskContext.get().partitionId(), np.int64))
         yield pa.RecordBatch.from_arrays([none, none, none, task, pa.nulls(k, pa.binary()), pa.array(some, pa.int32()), pa.array([counts[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in some], pa.binary())], names=names)
+        release()
 
     return docs.mapInArrow(run, "doc_id long, row long, node long, n long, bitmap binary, block int, counts binary")
 
@@ -196,6 +197,8 @@ def _postings(docs: DataFrame, counters: np.ndarray, buckets: int, size: int, pe
                     held, amount = [], 0
         if amount:
             yield flush()
+        held.clear()
+        release()
 
     return docs.select("text").mapInArrow(run, "bucket int, tokens binary, nodes binary, sizes binary")
 
@@ -420,6 +423,7 @@ def _look_again(lists: DataFrame, signs: DataFrame, percent: int, dense: int) ->
 def link_rows(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, bucket_size: int = BUCKET, dense: int = DENSE, part: int = TILE_NODES) -> DataFrame:
     """doc_id, row, n, component (a node; null for an empty set) of each row of docs (doc_id, row, text)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = folder(spark)
     first = keep(_identity(docs, size), path, "identity")
     rows = first.where("block IS NULL")

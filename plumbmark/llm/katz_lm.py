@@ -38,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbmark.llm.arrow_words import SPACES, mix, slices
+from plumbmark.llm.arrow_words import SPACES, mix, release, slices
 from plumbmark.llm.labelled import fold
-from plumbmark.llm.scratch import drop, folder, keep
+from plumbmark.llm.scratch import bounded_batches, drop, folder, keep
 from plumbmark.session import table
 
 DISCOUNTED = 5
@@ -160,6 +160,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
                     rows += b - a
         if parts:
             yield flush(parts)
+        parts.clear()
+        release()
 
     return docs.select("doc_id", "text", "held").mapInArrow(run, schema)
 
@@ -338,6 +340,7 @@ def _packed(model: Model):
     """A bucket's cells in a row, with the numbers of pairs and of trigrams seen 1 .. DISCOUNTED + 1 times."""
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         cells = {c: t[c].to_pylist() for c in CELL}
         b = Bucket(cells, model)
         seen = np.concatenate([np.bincount(np.minimum(x, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2] for x in (b.two_of, b.three)])
@@ -377,6 +380,7 @@ def _scores(model: Model):
     """block, docs, score: the sums of a bucket for each document of each block."""
 
     def run(t: pa.Table, split: pa.Table) -> pa.Table:
+        release()
         blocks, docs_of, sums = [], [], []
         for cells in t.select([*CELL]).to_pylist():
             b = Bucket(cells, model)
@@ -420,6 +424,7 @@ def _gather(docs: pa.Table, sums: pa.Table) -> pa.Table:
 def score(docs: DataFrame, held: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; rows where held is true don't train."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = folder(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held, F.lit(False)).alias("held"))
     counts = keep(count_words(rows.where("NOT held")), path, "unigrams")

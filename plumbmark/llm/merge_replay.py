@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from plumbmark.llm.arrow_words import release
+from plumbmark.llm.scratch import bounded_batches
 from plumbmark.session import table
 
 #: The vocabulary that op2 uses, in the package of public tokenizers.
@@ -238,6 +240,7 @@ def _groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 def encode(docs: DataFrame, text: str = "text", name: str = VOCABULARY, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """docs with ids, an array of the tokens of `text`. Without a path, each executor finds the named public vocabulary."""
+    bounded_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != "ids"]
     docs = docs.select(*[f"`{c}`" for c in keep])
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
@@ -258,6 +261,7 @@ def encode(docs: DataFrame, text: str = "text", name: str = VOCABULARY, path: st
         finally:
             own.forget()
             gc.enable()
+            release()
 
     return docs.mapInArrow(run, schema)
 
@@ -281,6 +285,7 @@ def decode(rows: DataFrame, into: str = "bytes", name: str = VOCABULARY, path: s
 
 def digests(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded and its ids decoded where they are made, so that no ids travel."""
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,6 +303,7 @@ def digests(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
         finally:
             own.forget()
             gc.enable()
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

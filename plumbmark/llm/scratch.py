@@ -48,6 +48,17 @@ def drop(spark: SparkSession, path: str, *names: str) -> None:
         folder_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder_, True)
 
 
+#: Rows of an Arrow batch at most: whole texts travel in batches, in the JVM and in the worker.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets the session send no larger batches to its workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, with underscores after it as long as df has a column of that name."""
     taken = {c.lower() for c in df.columns}

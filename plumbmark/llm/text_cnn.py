@@ -23,16 +23,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from plumbmark.llm.arrow_words import NOT_WORD, slices
+from plumbmark.llm.arrow_words import NOT_WORD, release, slices
 from plumbmark.llm.labelled import fold, sample
-from plumbmark.llm.scratch import drop, folder, keep, unused
+from plumbmark.llm.scratch import bounded_batches, drop, folder, keep, unused
 from plumbmark.session import table
 
 WORD_BITS, STEM_BITS, PREFIX = 18, 17, 5
@@ -235,6 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_train=No
                 yield pa.RecordBatch.from_arrays([part.column(0), cut(a), cut(b), part.column(2), part.column(3), pa.array(np.diff(words.bounds).astype(np.int64))], names=["doc_id", "word", "stem", "label", "lang", "n"])
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = folder(spark)
     rows = keep(picked.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label", "lang").mapInArrow(hashed, "doc_id long, word binary, stem binary, label int, lang string, n long"), path, "sample").where(F.col("n") <= LONGEST)
     # of a sample beyond the bound, the texts whose hashed ids come first; the window sees numbers only
@@ -246,21 +246,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_train=No
         for batch in batches:
             for name, held in parts.items():
                 held += [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(name)]
-            small.append(batch.select(["doc_id", "label", "lang"]).to_pandas())
+            small.append(batch.select(["doc_id", "label", "lang"]))
         if not small:
             model = Model(np.zeros((1 << WORD_BITS, CHANNELS), np.float32), np.zeros((1 << STEM_BITS, CHANNELS), np.float32), {w: np.zeros((w, 2 * CHANNELS, FILTERS), np.float32) for w in WIDTHS}, np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), constant=0.5)
         else:
-            table_ = pd.concat(small, ignore_index=True)
+            ids, label_of, lang = ([x for b in small for x in b.column(c).to_pylist()] for c in ("doc_id", "label", "lang"))
             sizes = np.array([len(x) for x in parts["word"]], np.int64)
             # the same order whatever the order the rows came in
-            order = np.lexsort((sizes, table_["doc_id"].to_numpy()))
-            label_of = table_["label"].to_numpy(np.int64)[order]
+            order = np.lexsort((sizes, np.array(ids, np.int64)))
+            label_of = np.array(label_of, np.int64)[order]
             word, stem = (np.concatenate([held[i] for i in order]) for held in parts.values())
             parts.clear()
             rates = tuple(min(1.0, max((label_of == v).sum(), 1) / max(totals.get(v, 1), 1)) for v in (0, 1))
-            lang = np.array([x if isinstance(x, str) else None for x in table_["lang"].to_numpy(object)[order]], object)
-            model = fit(word, stem, sizes[order], label_of, lang, rates)
+            model = fit(word, stem, sizes[order], label_of, np.array(lang, object)[order], rates)
+            del word, stem
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        release()
 
     found = rows.join(F.broadcast(until), "doc_id", "left_semi").drop("n").repartition(1).mapInArrow(fitted, "model binary").first()
     drop(spark, path, "sample")
@@ -269,6 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_train=No
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
     """docs with the score of each whole text, in a column called name, which docs doesn't have."""
+    bounded_batches(docs.sparkSession)
     columns = docs.columns
     sent = docs.sparkSession.sparkContext.broadcast(model)  # tables of a fixed size
     column = columns.index(text)
