@@ -31,7 +31,7 @@ def classify_text(text: Column) -> Column:
 
 def map_license(raw: Column) -> Column:
     """The category of a licence code, null if no rule fits: nothing is guessed."""
-    key = F.lower(F.trim(raw))
+    key = F.lower(strip(raw))
     tests = [(key.startswith(code) if code.endswith("-") else key == code, category) for code, category in LICENSE_RULES]
     return reduce(lambda rest, rule: F.when(rule[0], rule[1]).otherwise(rest), reversed(tests), F.lit(None).cast("string"))
 
@@ -60,7 +60,7 @@ def infer_extension(url: Column, content_type: Column) -> Column:
 
 def strip_tags(html: Column) -> Column:
     """Text without tags, null if none is left."""
-    return F.nullif(F.trim(F.regexp_replace(html, r"<[^>]+>", "")), F.lit(""))
+    return F.nullif(strip(F.regexp_replace(html, r"<[^>]+>", "")), F.lit(""))
 
 
 def first_filled(*values: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbmark.functions import text as X
@@ -51,11 +52,37 @@ def dry_run(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy(F.coalesce(X.map_license(F.col("license_raw")), F.lit("refused")).alias("license_mapped")).agg(F.count("*").alias("cnt"))
 
 
-def unique_names(rows: DataFrame, order: str = "pos") -> DataFrame:
-    """rows (filename, url, content_type) with name: stem, then _2, _3 ... for those that repeat, then extension."""
+def unique_names(rows: DataFrame, order: str = "pos", taken: DataFrame | None = None) -> DataFrame:
+    """rows (filename, url, content_type) with name: the stem, or the first of stem_2, stem_3 ... that no earlier row and no taken (name) has.
+
+    Stems that differ in such a number only can take each other's names, so the rows of one bare stem are named together, one by
+    one; a bare stem's rows are few, but a bare stem that repeats without bound is one task's work.
+    """
     stem, ext = X.with_prefix(X.safe_stem(F.col("filename"))), X.infer_extension(F.col("url"), F.col("content_type"))
-    nth = F.row_number().over(Window.partitionBy(stem, ext).orderBy(order))
-    return rows.withColumn("name", F.concat(stem, F.when(nth > 1, F.concat(F.lit("_"), nth.cast("string"))).otherwise(""), ext))
+    named = rows.withColumns({"_stem": stem, "_ext": ext}).withColumn("_bare", F.regexp_replace("_stem", r"(_[0-9]+)+$", ""))
+    own = Window.partitionBy("_stem", "_ext").orderBy(order)
+    # a stem's first row keeps it unless an earlier row, numbered, has taken it; most stems have no numbered kin and need no walk
+    numbered = named.groupBy("_bare", "_ext").agg(F.count_distinct("_stem").alias("_stems"))
+    if taken is None and numbered.where("_stems > 1").isEmpty():
+        nth = F.row_number().over(own)
+        return named.withColumn("name", F.concat("_stem", F.when(nth > 1, F.concat(F.lit("_"), nth.cast("string"))).otherwise(""), "_ext")).drop("_stem", "_ext", "_bare")
+    used = rows.sparkSession.createDataFrame([], "name string") if taken is None else taken.select("name")
+    used = used.withColumn("_ext", F.regexp_extract("name", r"(\.[^.]*)$", 1)).withColumn("_bare", F.regexp_replace(F.expr("left(name, length(name) - length(_ext))"), r"(_[0-9]+)+$", ""))
+    schema = T.StructType([*rows.schema.fields, T.StructField("name", T.StringType())])
+
+    def walk(group, old):
+        have, next_of, names = set(old["name"]), {}, []
+        group = group.sort_values(order, kind="stable")
+        for stem_, ext_ in zip(group["_stem"], group["_ext"], strict=True):
+            n, name = next_of.get(stem_, 1), None
+            while name is None or name in have:
+                name, n = (stem_ if n == 1 else f"{stem_}_{n}") + ext_, n + 1
+            have.add(name)
+            next_of[stem_] = n
+            names.append(name)
+        return group.assign(name=names)[[f.name for f in schema.fields]]
+
+    return named.groupBy("_bare", "_ext").cogroup(used.groupBy("_bare", "_ext")).applyInPandas(lambda a, b: walk(a, b), schema)
 
 
 def provenance_violation() -> Column:

@@ -18,7 +18,8 @@ def _raw_license():
 
 def text_classify(spark, sf_dir):
     words = table(spark, sf_dir, "pages").select(F.explode(F.split("url", r"[/:.?=&\-]+")).alias("w"))
-    words = words.unionByName(table(spark, sf_dir, "documents").select(F.explode(F.array("lang", "source")).alias("w")))
+    docs = table(spark, sf_dir, "documents")
+    words = words.unionByName(docs.select(F.explode(F.array("lang", "source")).alias("w"))).unionByName(docs.select(F.explode(F.split("text", " ")).alias("w")))
     return words.groupBy(X.classify_text(F.col("w")).alias("kind")).agg(F.count("*").alias("cnt"))
 
 
@@ -77,13 +78,18 @@ def infer_extension(spark, sf_dir):
 
 
 def strip_html(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.strip_tags(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 0)).alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", X.strip_tags(F.col("html")).alias("text"))
+
+
+def unique_names(spark, sf_dir):
+    """Parts' names as files: those that repeat are numbered past names already taken."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.concat("p_brand", F.when(F.col("p_partkey") % 3 == 0, "_2").otherwise(""), F.lit(".png")).alias("filename"), F.lit("u.png").alias("url"), F.lit(None).cast("string").alias("content_type"))
+    return corpus.unique_names(rows).select("pos", "name")
 
 
 def ranked_samples(spark, sf_dir):
     names = table(spark, sf_dir, "documents").select(F.concat(F.when(F.col("doc_id") % 3 == 0, "wm_").when(F.col("doc_id") % 3 == 1, "synth_").otherwise(""), "source", F.lit("_"), F.col("doc_id").cast("string")).alias("name"))
-    ranked = corpus.ranked_samples(names, "name").limit(50)
-    return ranked
+    return corpus.ranked_samples(names, "name")
 
 
 def set_checks(spark, sf_dir):
@@ -103,11 +109,12 @@ d AS (SELECT *, CASE WHEN s IS NULL AND pos > min(pos) FILTER (s IS NULL) OVER (
 
 QUERIES = {
     "text_classify": text_classify, "license_map": license_map, "gate_cascade": gate_cascade, "gate_counters": gate_counters, "provenance_by_source": provenance_by_source, "sha_dedup_first": sha_dedup_first,
-    "duplicate_hashes": duplicate_hashes, "missing_provenance": missing_provenance, "crawl_dry_run": dry_run, "safe_stem": safe_stem, "infer_extension": infer_extension, "strip_html": strip_html, "ranked_samples": ranked_samples, "set_checks": set_checks,
+    "duplicate_hashes": duplicate_hashes, "missing_provenance": missing_provenance, "crawl_dry_run": dry_run, "safe_stem": safe_stem, "infer_extension": infer_extension, "strip_html": strip_html, "ranked_samples": ranked_samples, "unique_names": unique_names, "set_checks": set_checks,
 }
 ORACLES = {
-    "text_classify": r"""WITH w AS (SELECT unnest(regexp_split_to_array(url, '[/:.?=&\-]+')) AS w FROM pages UNION ALL SELECT lang FROM documents UNION ALL SELECT source FROM documents)
-SELECT CASE WHEN trim(w) = '' THEN 'other' WHEN regexp_matches(trim(w), '^[0-9]{2,5}([.][0-9]+)?$') THEN 'dimension_text' WHEN regexp_matches(trim(w), '^[A-Za-z][A-Za-z0-9_ ]*$') THEN 'room_label' ELSE 'other' END AS kind, count(*) AS cnt FROM w GROUP BY 1""",
+    "text_classify": r"""WITH w AS (SELECT unnest(regexp_split_to_array(url, '[/:.?=&\-]+')) AS w FROM pages UNION ALL SELECT lang FROM documents UNION ALL SELECT source FROM documents UNION ALL SELECT unnest(string_split(text, ' ')) FROM documents),
+t AS (SELECT regexp_replace(coalesce(w, ''), '^[\s\v\p{Z}\x{85}]+|[\s\v\p{Z}\x{85}]+$', '', 'g') AS w FROM w)
+SELECT CASE WHEN regexp_matches(w, '^\p{Nd}{2,5}([.]\p{Nd}+)?$') THEN 'dimension_text' WHEN regexp_matches(w, '^[A-Za-zㄱ-힝][\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}ㄱ-힝\s\v\p{Z}\x{85}]*$') THEN 'room_label' ELSE 'other' END AS kind, count(*) AS cnt FROM t GROUP BY 1""",
     "license_map": f"SELECT k AS license_raw, {_MAP} AS license_mapped, count(*) AS cnt FROM (SELECT {_RAW} AS k FROM documents) GROUP BY 1, 2",
     "gate_cascade": _GATED + "SELECT coalesce(stage, 'accept') AS stage, count(*) AS cnt FROM d GROUP BY 1",
     "gate_counters": _GATED + "SELECT count(*) FILTER (stage IS NULL) AS downloaded, count(*) FILTER (stage = 'license_check') AS refused_by_license, count(*) FILTER (stage = 'url_check') AS refused_by_url, count(*) FILTER (stage = 'download') AS refused_by_404, count(*) FILTER (stage = 'size_check') AS refused_by_too_small, count(*) FILTER (stage = 'dedup') AS refused_by_dedup FROM d",
@@ -118,7 +125,7 @@ SELECT CASE WHEN trim(w) = '' THEN 'other' WHEN regexp_matches(trim(w), '^[0-9]{
     "crawl_dry_run": f"SELECT coalesce({_MAP}, 'refused') AS license_mapped, count(*) AS cnt FROM (SELECT {_RAW} AS k FROM documents) GROUP BY 1",
     "safe_stem": r"SELECT p_partkey, 'wm_' || left(regexp_replace(regexp_replace(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^a-z0-9_\-]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), 80) AS name FROM part",
     "infer_extension": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' WHEN 2 THEN '.pdf' ELSE CASE WHEN page_id % 7 = 0 THEN '.jpg' ELSE '.png' END END AS ext FROM pages",
-    "strip_html": "SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 0), '<[^>]+>', '', 'g')), '') AS title FROM pages",
-    "ranked_samples": "SELECT name FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'wm_' WHEN 1 THEN 'synth_' ELSE '' END || source || '_' || doc_id AS name FROM documents) ORDER BY CASE WHEN starts_with(name, 'wm_') THEN 0 WHEN starts_with(name, 'synth_') THEN 1 ELSE 2 END, name LIMIT 50",
+    "strip_html": r"SELECT page_id, nullif(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '^\s+|\s+$', '', 'g'), '') AS text FROM pages",
+    "ranked_samples": "SELECT name FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'wm_' WHEN 1 THEN 'synth_' ELSE '' END || source || '_' || doc_id AS name FROM documents) ORDER BY CASE WHEN starts_with(name, 'wm_') THEN 0 WHEN starts_with(name, 'synth_') THEN 1 ELSE 2 END, name",
     "set_checks": "SELECT 'both' AS what, count(*) AS cnt FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels) UNION ALL SELECT 'unlabelled', count(*) FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels) UNION ALL SELECT 'orphan', count(*) FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)",
 }

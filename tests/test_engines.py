@@ -147,3 +147,13 @@ def test_sources(spark, tmp_path):
     body = '{"query":{"pages":{"1":{"title":"File:A.png","imageinfo":[{"url":"u","extmetadata":{"License":{"value":""},"LicenseShortName":{"value":"cc0"},"Artist":{"value":"<i>x</i>"}}}]},"2":{"title":"B"}}}}'
     got = parsed.media_candidates(spark.createDataFrame([(200, body), (404, body), (200, "bad")], "status int, body string")).orderBy("filename").collect()
     assert [(r.filename, r.license_raw, r.attribution) for r in got] == [("B", None, None), ("File:A.png", "cc0", "x")]
+
+
+def test_unique_names_count_on_until_free(spark):
+    from plumbmark.operators import corpus
+
+    rows = spark.createDataFrame([(1, "a.png"), (2, "a.png"), (3, "a_2.png"), (4, "a.png"), (5, "b.png")], "pos int, filename string").selectExpr("pos", "filename", "'u' AS url", "'image/png' AS content_type")
+    names = lambda df: [r.name for r in df.orderBy("pos").collect()]
+    assert names(corpus.unique_names(rows)) == ["wm_a.png", "wm_a_2.png", "wm_a_2_2.png", "wm_a_3.png", "wm_b.png"]
+    taken = spark.createDataFrame([("wm_b.png",), ("wm_a_3.png",)], "name string")
+    assert names(corpus.unique_names(rows, taken=taken)) == ["wm_a.png", "wm_a_2.png", "wm_a_2_2.png", "wm_a_4.png", "wm_b_2.png"]
