@@ -323,9 +323,12 @@ def search(graph: DataFrame, buckets: int, starts: DataFrame, d: int, path: str,
 
 
 def cosine(a, b):
-    """In double precision, summed in the order of the components; both scaled by their largest component first."""
+    """In double precision, summed in the order of the components. Each vector is first divided by a power of two near its largest
+    component, which changes no digit, so that very large and very small vectors neither overflow nor vanish."""
+    scaled = lambda x: F.transform(x, lambda v: v / F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform(x, F.abs))))))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    of = lambda x, y: dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+    return F.transform(F.array(F.struct(scaled(a).alias("x"), scaled(b).alias("y"))), lambda s: of(s["x"], s["y"]))[0]
 
 
 def nearest(vectors: DataFrame, is_query, k: int = NEAREST) -> DataFrame:

@@ -225,6 +225,14 @@ def test_jaccard_without_ids(spark):
     assert kept == sorted("xuvwee")
 
 
+def test_cosine_of_any_size(spark):
+    rows = [([3.0, 4.0, 0.5], [1.0, -2.0, 7.0])]
+    want = np.dot(*rows[0]) / np.linalg.norm(rows[0][0]) / np.linalg.norm(rows[0][1])
+    sizes = [(1.0, 1.0), (1e200, 1e200), (1e-200, 1e-200), (1e200, 1e-200), (1e300, 1.0)]
+    df = spark.createDataFrame([([x * p for x in rows[0][0]], [x * q for x in rows[0][1]]) for p, q in sizes], "a array<double>, b array<double>")
+    assert [r.c for r in df.select(nn_descent.cosine(F.col("a"), F.col("b")).alias("c")).collect()] == pytest.approx([want] * len(sizes), rel=1e-12)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges, scratch.folder(spark), "t").collect()}
