@@ -64,6 +64,26 @@ class Warehouse:
         schema = self.spark.createDataFrame([], TABLES[name]).schema
         rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").parquet(f"{self.path}/{name}")
 
+    def _append_json(self, name: str, rows: DataFrame, column: str, json: str) -> None:
+        """rows with `column`, a struct, map or array, as the JSON text that the table keeps; null stays null."""
+        self.append(name, rows.withColumn(json, F.to_json(column)) if column in rows.columns else rows)
+
+    def emit(self, events: DataFrame) -> None:
+        """events: run_id, stage, level, message, timestamp, and payload, if any."""
+        self._append_json("stage_events", events, "payload", "payload_json")
+
+    def emit_errors(self, errors: DataFrame) -> None:
+        """errors: run_id, stage, message, timestamp. An event only: the run's state is set by its end."""
+        self.emit(errors.withColumn("level", F.lit("ERROR")))
+
+    def fire(self, fires: DataFrame) -> None:
+        """fires: run_id, policy_name, timestamp, and detail, if any."""
+        self._append_json("policy_fires", fires, "detail", "detail_json")
+
+    def refuse(self, refusals: DataFrame) -> None:
+        """refusals: run_id, region (an array of points, each an array of two numbers), attempted_type, why, recorded_at."""
+        self._append_json("refusals_log", refusals, "region", "region_json")
+
     def begin(self, runs: DataFrame) -> None:
         """runs: run_id, drawing_id, started_at."""
         self.append("runs", runs.select("run_id", "drawing_id", "started_at", F.lit(0).alias("seq"), F.lit("in_progress").alias("exit_state")))
@@ -158,3 +178,16 @@ def as_table(df: DataFrame) -> list[str]:
     widths = [max(len(c), *(len(r[i]) for r in rows)) for i, c in enumerate(df.columns)]
     line = lambda cells: "  ".join(c.ljust(w) for c, w in zip(cells, widths, strict=True)).rstrip()
     return [line(df.columns), line(["-" * w for w in widths]), *map(line, rows)]
+
+
+def success_rate(runs: DataFrame, least: float = 0.8) -> DataFrame:
+    """total, ok, rate and whether it reaches the least; without runs the rate is null and doesn't."""
+    ok = F.col("exit_state") == "SUCCESS"
+    counts = runs.agg(F.count("*").alias("total"), F.count_if(ok).alias("ok"))
+    rate = F.try_divide("ok", "total")
+    return counts.withColumn("rate", rate).withColumn("enough", F.coalesce(rate >= least, F.lit(False)))
+
+
+def affected(marked: DataFrame, unknown: str) -> DataFrame:
+    """run_id, affected: how many rows (run_id, tag) of each run carry the unknown mark; runs without any are left out."""
+    return marked.where(F.col("tag") == unknown).groupBy("run_id").agg(F.count("*").alias("affected"))

@@ -54,6 +54,14 @@ def stats_counts(spark, sf_dir):
     return audit.run_counts(runs(events(spark, sf_dir)))
 
 
+def success_rate(spark, sf_dir):
+    return audit.success_rate(runs(events(spark, sf_dir)))
+
+
+def affected(spark, sf_dir):
+    return audit.affected(events(spark, sf_dir), TAGS[3])
+
+
 def top_types(spark, sf_dir):
     return audit.top_types(events(spark, sf_dir).select(F.col("stage").alias("attempted_type")))
 
@@ -162,7 +170,7 @@ marks AS (SELECT 'type' AS field, tag FROM ev UNION ALL SELECT 'geometry', '⊨'
 """
 
 QUERIES = {
-    "audit_refusals_by_type_drawing": refusals_by_type_drawing, "audit_list_runs": list_runs, "audit_show_run_events": show_run_events, "audit_stats_counts": stats_counts, "audit_top_types": top_types,
+    "audit_refusals_by_type_drawing": refusals_by_type_drawing, "audit_list_runs": list_runs, "audit_show_run_events": show_run_events, "audit_stats_counts": stats_counts, "audit_success_rate": success_rate, "audit_affected_counts": affected, "audit_top_types": top_types,
     "audit_slowest_runs": slowest_runs, "audit_policy_by_drawing": policy_by_drawing, "audit_epistemic_rollup": epistemic_rollup, "audit_rollup_totals": rollup_totals, "audit_epistemic_upsert": epistemic_upsert,
     "audit_run_lifecycle": run_lifecycle, "audit_payload_json": payload_json, "audit_distinct_stages": distinct_stages, "audit_stage_latency": stage_latency, "audit_hourly_levels": hourly_levels,
     "taint_counts": taint_counts, "taint_sum_gated": taint_sum_gated, "policy_violations": policy_violations, "review_route": review_route,
@@ -172,6 +180,8 @@ ORACLES = {
     "audit_list_runs": _EV + "SELECT run_id, drawing_id, started_at, exit_state FROM runs ORDER BY started_at DESC, run_id LIMIT 20",
     "audit_show_run_events": _EV + "SELECT run_id, event_seq, stage, CASE WHEN length(payload_json) > 200 THEN payload_json[1:200] || '...' ELSE coalesce(payload_json, '') END AS payload FROM ev WHERE run_id = (SELECT run_id FROM runs ORDER BY started_at, run_id LIMIT 1) ORDER BY event_seq",
     "audit_stats_counts": _EV + "SELECT count(*) AS total, count(*) FILTER (exit_state = 'SUCCESS') AS success, count(*) FILTER (exit_state = 'FAILURE') AS failure FROM runs",
+    "audit_success_rate": _EV + "SELECT count(*) AS total, count(*) FILTER (exit_state = 'SUCCESS') AS ok, count(*) FILTER (exit_state = 'SUCCESS')::DOUBLE / count(*) AS rate, coalesce(count(*) FILTER (exit_state = 'SUCCESS')::DOUBLE / count(*) >= 0.8, false) AS enough FROM runs",
+    "audit_affected_counts": _EV + "SELECT run_id, count(*) AS affected FROM ev WHERE stage = 'error' GROUP BY 1",
     "audit_top_types": _EV + "SELECT stage AS attempted_type, count(*) AS cnt FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "audit_slowest_runs": _EV + "SELECT run_id, duration_ms FROM runs ORDER BY duration_ms DESC NULLS LAST, run_id LIMIT 10",
     "audit_policy_by_drawing": _EV + "SELECT r.drawing_id, count(*) AS fires FROM ev e JOIN runs r USING (run_id) WHERE e.stage = 'error' GROUP BY 1",

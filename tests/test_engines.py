@@ -157,3 +157,23 @@ def test_unique_names_count_on_until_free(spark):
     assert names(corpus.unique_names(rows)) == ["wm_a.png", "wm_a_2.png", "wm_a_2_2.png", "wm_a_3.png", "wm_b.png"]
     taken = spark.createDataFrame([("wm_b.png",), ("wm_a_3.png",)], "name string")
     assert names(corpus.unique_names(rows, taken=taken)) == ["wm_a.png", "wm_a_2.png", "wm_a_2_2.png", "wm_a_4.png", "wm_b_2.png"]
+
+
+def test_audit_emitters_write_json(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from plumbmark.operators import audit
+
+    w = audit.Warehouse(spark, str(tmp_path / "audit"))
+    w.init()
+    now = F.timestamp_seconds(F.lit(0)).alias("timestamp")
+    one = spark.range(1).select(F.lit("r1").alias("run_id"), F.lit("ocr").alias("stage"), F.lit("INFO").alias("level"), F.lit("complete").alias("message"), now, F.struct(F.lit(3).alias("texts")).alias("payload"))
+    w.emit(one)
+    w.emit_errors(one.drop("payload", "level"))
+    w.fire(spark.range(1).select(F.lit("r1").alias("run_id"), F.lit("Measurement_Policy").alias("policy_name"), now, F.struct(F.lit(2).alias("affected")).alias("detail")))
+    w.refuse(spark.range(1).select(F.lit("r1").alias("run_id"), F.array(F.array(F.lit(10.0), F.lit(20.0))).alias("region"), F.lit("window").alias("attempted_type"), F.lit("no wall").alias("why"), now.alias("recorded_at")))
+    assert {(r.level, r.payload_json) for r in w.read("stage_events").collect()} == {("INFO", '{"texts":3}'), ("ERROR", None)}
+    assert [r.detail_json for r in w.read("policy_fires").collect()] == ['{"affected":2}']
+    assert [r.region_json for r in w.read("refusals_log").collect()] == ["[[10.0,20.0]]"]
+    none = audit.success_rate(w.runs()).first()
+    assert (none.total, none.ok, none.rate, none.enough) == (0, 0, None, False)
