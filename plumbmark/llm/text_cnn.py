@@ -218,6 +218,13 @@ def best_cut(value: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
     return float((v[k] + v[k + 1]) / 2 if k + 1 < len(v) else v[k] - 1e-6)
 
 
+def _untrained() -> Model:
+    """The model without any training text: each score is one half."""
+    zeros = lambda *shape: np.zeros(shape, np.float32)
+    k = FILTERS * len(WIDTHS)
+    return Model(zeros(1 << WORD_BITS, CHANNELS), zeros(1 << STEM_BITS, CHANNELS), {w: zeros(w, 2 * CHANNELS, FILTERS) for w in WIDTHS}, zeros(k), zeros(k), constant=0.5)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_train=None, per_class: tuple[int, int] = PER_CLASS) -> Model:
     """may_train: which doc_ids' labels may be used (all, if None)."""
     may = F.lit(True) if may_train is None else may_train
@@ -247,25 +254,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_train=No
             for name, held in parts.items():
                 held += [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(name)]
             small.append(batch.select(["doc_id", "label", "lang"]))
-        if not small:
-            model = Model(np.zeros((1 << WORD_BITS, CHANNELS), np.float32), np.zeros((1 << STEM_BITS, CHANNELS), np.float32), {w: np.zeros((w, 2 * CHANNELS, FILTERS), np.float32) for w in WIDTHS}, np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), constant=0.5)
-        else:
-            ids, label_of, lang = ([x for b in small for x in b.column(c).to_pylist()] for c in ("doc_id", "label", "lang"))
-            sizes = np.array([len(x) for x in parts["word"]], np.int64)
-            # the same order whatever the order the rows came in
-            order = np.lexsort((sizes, np.array(ids, np.int64)))
-            label_of = np.array(label_of, np.int64)[order]
-            word, stem = (np.concatenate([held[i] for i in order]) for held in parts.values())
-            parts.clear()
-            rates = tuple(min(1.0, max((label_of == v).sum(), 1) / max(totals.get(v, 1), 1)) for v in (0, 1))
-            model = fit(word, stem, sizes[order], label_of, np.array(lang, object)[order], rates)
-            del word, stem
+        if not any(b.num_rows for b in small):
+            return
+        ids, label_of, lang = ([x for b in small for x in b.column(c).to_pylist()] for c in ("doc_id", "label", "lang"))
+        sizes = np.array([len(x) for x in parts["word"]], np.int64)
+        # the same order whatever the order the rows came in
+        order = np.lexsort((sizes, np.array(ids, np.int64)))
+        label_of = np.array(label_of, np.int64)[order]
+        word, stem = (np.concatenate([held[i] for i in order]) for held in parts.values())
+        parts.clear()
+        rates = tuple(min(1.0, max((label_of == v).sum(), 1) / max(totals.get(v, 1), 1)) for v in (0, 1))
+        model = fit(word, stem, sizes[order], label_of, np.array(lang, object)[order], rates)
+        del word, stem
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
         release()
 
     found = rows.join(F.broadcast(until), "doc_id", "left_semi").drop("n").repartition(1).mapInArrow(fitted, "model binary").first()
     drop(spark, path, "sample")
-    return pickle.loads(found["model"])
+    return pickle.loads(found["model"]) if found else _untrained()
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
