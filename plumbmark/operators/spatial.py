@@ -6,6 +6,8 @@ is copied to the bin before and after its own. Within a drawing that leaves a fe
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +39,45 @@ def _near_directions(lines: DataFrame, idx: str, degrees: float) -> DataFrame:
     return pairs.where((F.col("idx_a") != F.col("idx_b")) & (G.angle_gap(F.col("angle_a"), F.col("angle_b")) <= degrees)).drop("bin")
 
 
+def _cells(own: DataFrame, degrees: float, gap: float) -> DataFrame:
+    """own with the cells (across, along) that a line may share with a partner, in the frame of its bin's middle direction.
+
+    Faces that overlap have middles at most half their lengths apart along the wall, so across it at most gap and what the bin's
+    angles turn that distance into. Each line takes half of both bounds to either side: partners' intervals meet in both axes.
+    """
+    turn = F.radians((F.col("bin") + 0.5) * degrees)
+    mx, my, half = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2, F.col("size") / 2
+    reach = {"across": half * math.tan(math.radians(1.5 * degrees)) * 1.01 + gap / 2 + 1, "along": half / math.cos(math.radians(degrees)) + gap / 2 + 1}
+    at = {"across": my * F.cos(turn) - mx * F.sin(turn), "along": mx * F.cos(turn) + my * F.sin(turn)}
+    for axis, side in (("across", 4 * gap), ("along", 16 * gap)):
+        first, last = F.floor((at[axis] - reach[axis]) / side), F.floor((at[axis] + reach[axis]) / side)
+        own = own.withColumn(f"first_{axis}", first).withColumn(axis, F.explode(F.sequence(first, last)))
+    return own
+
+
 def wall_edges(lines: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Directed pairs of lines that may be the two faces of a wall: drawing_id, line_a, line_b, gap (of b's middle from a), overlap, length_a."""
-    pairs = _near_directions(lines, "line_idx", p.angle)
-    a, b = F.col("a"), F.col("b")
-    across = F.abs(G.dy(a) * G.mid_x(b) - G.dx(a) * G.mid_y(b) + a["x2"] * a["y1"] - a["y2"] * a["x1"]) / F.nullif(F.col("size_a"), F.lit(0.0))
-    found = pairs.withColumn("gap", across).where(F.col("gap").between(*p.wall_gap)).withColumn("overlap", G.overlap(a, b, F.col("size_a"), F.col("size_b"))).where(F.col("overlap") >= p.wall_overlap)
-    return found.select("drawing_id", F.col("idx_a").alias("line_a"), F.col("idx_b").alias("line_b"), "gap", "overlap", F.col("size_a").alias("length_a"), F.col("size_b").alias("length_b"), G.angle_gap(F.col("angle_a"), F.col("angle_b")).alias("angle_gap"))
+    """Directed pairs of lines that may be the two faces of a wall: drawing_id, line_a, line_b, gap (of b's middle from a), overlap, length_a.
+
+    Lines meet in a bin of directions and a cell of its frame, and count in the first cell they share. The sides are flat columns
+    without nulls, which keeps the join's method small enough for the JIT; one side is dealt by the cells, so that dense drawings are spread.
+    """
+    ends, bins = ("x1", "y1", "x2", "y2"), int(180 // p.angle)
+    own = _binned(lines, "line_idx", p.angle).where(F.col("size") > 0)
+    value = lambda c: F.coalesce(c, F.lit(0.0))
+    own = own.select("drawing_id", "idx", "bin", *[value(F.col("s")[c]).alias(c) for c in ends], value(F.col("size")).alias("size"), value(F.col("angle")).alias("angle"))
+    around = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.pmod(F.col("bin") + k, F.lit(bins))))
+    keys = ["drawing_id", "bin", "across", "along"]
+    side = lambda df, s: df.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c not in keys])
+    left = side(_cells(own, p.angle, p.wall_gap[1]), "a").repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    right = side(_cells(own.withColumn("bin", F.explode(around)), p.angle, p.wall_gap[1]), "b")
+    a, b = ({c: F.col(f"{c}_{s}") for c in (*ends, "size")} for s in "ab")
+    once = [F.greatest(f"first_{axis}_a", f"first_{axis}_b") == F.col(axis) for axis in ("across", "along")]
+    turn = G.angle_gap(F.col("angle_a"), F.col("angle_b"))
+    mx, my = (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2
+    gap = F.abs((a["y2"] - a["y1"]) * mx - (a["x2"] - a["x1"]) * my + a["x2"] * a["y1"] - a["y2"] * a["x1"]) / a["size"]
+    pairs = left.join(right, keys).where((F.col("idx_a") != F.col("idx_b")) & once[0] & once[1] & (turn <= p.angle) & gap.between(*p.wall_gap))
+    found = pairs.withColumn("gap", gap).withColumn("overlap", G.overlap(a, b, a["size"], b["size"])).where(F.col("overlap") >= p.wall_overlap)
+    return found.select("drawing_id", F.col("idx_a").alias("line_a"), F.col("idx_b").alias("line_b"), "gap", "overlap", F.col("size_a").alias("length_a"), F.col("size_b").alias("length_b"), turn.alias("angle_gap"))
 
 
 def match_walls(edges: DataFrame) -> DataFrame:
