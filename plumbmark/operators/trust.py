@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from plumbmark.functions import geometry as G
 from plumbmark.functions import marks as M
+from plumbmark.functions import text as X
 from plumbmark.operators import spatial
 from plumbmark.params import DEFAULT, EXTRAPOLATED, GROUNDED, INFERRED, UNKNOWN, Params
+from plumbmark.session import settle, shared_folder
 
 #: Fixed texts of the contract.
 WINDOW_BASIS = "double line on a wall; no second view confirms a window"
@@ -115,6 +117,12 @@ def rollup_tags(objects_: DataFrame) -> DataFrame:
     return each.groupBy("drawing_id", "m.field", "m.tag").agg(F.count("*").alias("count"))
 
 
+def aggregate_mark(tag: Column, warning: Column, signal: Column) -> Column:
+    """The mark of an aggregate: what it was made from, and, if tainted or unknown, the warning as its basis or gap."""
+    seen = F.array(M.evidence("compose", signal))
+    return M.mark(tag, F.when(tag == UNKNOWN, F.array().cast(M.EVIDENCE)).otherwise(seen.cast(M.EVIDENCE)), F.when(tag == EXTRAPOLATED, warning), F.when(tag == UNKNOWN, warning))
+
+
 def mark_violations(mark: Column) -> Column:
     """What a mark lacks: an extrapolated one its basis, an unknown one its gap; null if nothing."""
     return F.when((mark["tag"] == EXTRAPOLATED) & (F.coalesce(mark["basis"], F.lit("")) == ""), "basis").when((mark["tag"] == UNKNOWN) & (F.coalesce(mark["gap"], F.lit("")) == ""), "gap").when(~mark["tag"].isin(GROUNDED, INFERRED, EXTRAPOLATED, UNKNOWN), "tag")
@@ -136,6 +144,16 @@ def violations(objects_: DataFrame, anchor: DataFrame) -> DataFrame:
     return rows.select("drawing_id", "object_id", F.explode(F.array_compact(F.array(*tests))).alias("rule"))
 
 
+def aggregate_violations(docs: DataFrame) -> DataFrame:
+    """drawing_id, field, rule for each breach of the contract in the aggregates of documents. Only the sum of lengths is bound to the anchor."""
+    fields = ("wall_count", "door_count", "window_count", "measured_wall_length_mm")
+    at = lambda f, part: F.col(f"aggregates.{f}.{part}")
+    rows = [(f, mark_violations(at(f, "epistemic"))) for f in fields]
+    rows.append((fields[-1], measurement_violation(F.col("scale_anchor.detected"), at(fields[-1], "value"), at(fields[-1], "epistemic.tag"))))
+    found = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), rule.alias("rule")) for f, rule in rows]))
+    return docs.select("drawing_id", found.alias("v")).where("v.rule IS NOT NULL").select("drawing_id", "v.*")
+
+
 def strict(rows: DataFrame, violation: Column) -> DataFrame:
     """rows, failing at run time on the first violation."""
     return rows.where(F.when(violation.isNotNull(), F.raise_error(F.concat(F.lit("contract violation: "), violation)).cast("boolean")).otherwise(True))
@@ -150,26 +168,33 @@ def document(drawings: DataFrame, objects_: DataFrame, counts: DataFrame, total:
     """One nested row a drawing, lists in a fixed order."""
     listed = objects_.groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("number", "object_id", "type", "type_epistemic", "geometry", "geometry_epistemic", "measurement_mm", "measurement_epistemic", "review_status"))).alias("objects"))
     listed = listed.withColumn("objects", F.transform("objects", lambda o: o.dropFields("number")))
-    aggregate = F.struct(F.col("value").cast("double").alias("value"), F.col("tag").alias("tag"), "warning")
-    sums = counts.groupBy("drawing_id").agg(*[F.max(F.when(F.col("type") == t, aggregate)).alias(n) for t, n in (("wall_structural", "wall_count"), ("door", "door_count"), ("window", "window_count"))])
-    sums = sums.join(total.select("drawing_id", aggregate.alias("measured_wall_length_mm")), "drawing_id", "full")
+    aggregate = lambda what: F.struct(F.col("value").cast("double").alias("value"), aggregate_mark(F.col("tag"), F.col("warning"), F.lit(what)).alias("epistemic"), "warning")
+    sums = counts.groupBy("drawing_id").agg(*[F.max_by(aggregate(f"count of {t} objects"), F.col("type") == t).alias(n) for t, n in (("wall_structural", "wall_count"), ("door", "door_count"), ("window", "window_count"))])
+    sums = sums.join(total.select("drawing_id", aggregate("sum of wall lengths").alias("measured_wall_length_mm")), "drawing_id", "full")
     refused = refusals.groupBy("drawing_id").agg(F.array_sort(F.collect_list(F.struct("rank", "region", F.concat(F.lit("["), F.col("attempted_type"), F.lit("] "), F.col("why")).alias("why")))).alias("refusals"))
     refused = refused.withColumn("refusals", F.transform("refusals", lambda r: r.dropFields("rank")))
     scale = anchor.select("drawing_id", F.struct("detected", "px_per_mm", "source").alias("scale_anchor"))
     return drawings.select("drawing_id").join(listed, "drawing_id", "left").join(sums.select("drawing_id", F.struct("wall_count", "door_count", "window_count", "measured_wall_length_mm").alias("aggregates")), "drawing_id", "left").join(refused, "drawing_id", "left").join(scale, "drawing_id", "left")
 
 
+def from_json(rows: DataFrame, schema) -> DataFrame:
+    """Documents of a given schema from rows (json); the reverse of as_json."""
+    return rows.select(F.from_json("json", schema).alias("d")).select("d.*")
+
+
 def as_json(docs: DataFrame) -> DataFrame:
     """drawing_id, json: nulls are written, as they are part of the contract."""
     return docs.select("drawing_id", F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def analyse(drawings: DataFrame, lines: DataFrame, short_segs: DataFrame, circles: DataFrame, contours: DataFrame, texts: DataFrame, p: Params = DEFAULT) -> dict[str, DataFrame]:
-    """From detected primitives of any number of drawings to walls, objects, refusals, aggregates and documents."""
-    from plumbmark.functions.text import classify_text
+    """From detected primitives of any number of drawings to walls, objects, refusals, aggregates and documents.
 
-    texts = texts.where(F.trim("text") != "").withColumn("classification", classify_text(F.col("text")))
-    wall = spatial.walls(lines, p)
+    Walls, windows, the anchor and the objects are written below spark.checkpoint.dir and read again, as several results need them.
+    """
+    folder = shared_folder(drawings.sparkSession)
+    texts = texts.where(X.strip(F.col("text")) != "").withColumn("classification", X.classify_text(F.col("text")))
+    wall = settle(spatial.walls(lines, p), folder, "walls")
     slack = F.col("r") + p.door_slack
     doors = spatial.near_wall(circles, wall, "cx", "cy", slack)
     lost = spatial.far_from_walls(circles, wall, "cx", "cy", slack)
@@ -177,11 +202,11 @@ def analyse(drawings: DataFrame, lines: DataFrame, short_segs: DataFrame, circle
     matched = spatial.match_windows(edges, wall, p).join(edges.select("drawing_id", "seg_i", "seg_j", "i", "j"), ["drawing_id", "seg_i", "seg_j"])
     ends = F.array(*[F.struct(F.col(f"{s}.x{k}").alias("x"), F.col(f"{s}.y{k}").alias("y")) for s in "ij" for k in "12"])
     span = F.sqrt(sum((((F.col(f"i.{c}2") + F.col(f"j.{c}2")) - (F.col(f"i.{c}1") + F.col(f"j.{c}1"))) / 2) ** 2 for c in "xy"))
-    matched = matched.withColumn("box", G.box(ends)).withColumn("span", span)
+    matched = settle(matched.withColumn("box", G.box(ends)).withColumn("span", span), folder, "windows")
     windows = matched.where("accepted").withColumn("win_idx", F.row_number().over(Window.partitionBy("drawing_id").orderBy("seg_i", "seg_j")))
     spaces = spatial.label_contours(contours, texts, p)
-    anchor = anchors(drawings, texts, wall, p)
-    every = objects(wall, doors, windows, spaces, texts.where(F.col("classification") == "dimension_text"), anchor)
+    anchor = settle(anchors(drawings, texts, wall, p), folder, "anchors")
+    every = settle(objects(wall, doors, windows, spaces, texts.where(F.col("classification") == "dimension_text"), anchor), folder, "objects")
     arc_box = F.array(F.array(F.col("cx") - F.col("r"), F.col("cy") - F.col("r")), F.array(F.col("cx") + F.col("r"), F.col("cy") + F.col("r")))
     refusals = lost.select("drawing_id", F.struct(F.lit(0).alias("kind"), F.col("circle_idx").cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("rank"), F.lit("door").alias("attempted_type"), arc_box.alias("region"), F.lit("arc without a wall beside it").alias("why")).unionByName(
         matched.where("NOT accepted").select("drawing_id", F.struct(F.lit(1).alias("kind"), F.col("seg_i").cast("long").alias("a"), F.col("seg_j").cast("long").alias("b")).alias("rank"), F.lit("window").alias("attempted_type"), _corners(F.col("box")).alias("region"), F.lit("parallel pair off any wall").alias("why"))
@@ -189,4 +214,5 @@ def analyse(drawings: DataFrame, lines: DataFrame, short_segs: DataFrame, circle
     groups = drawings.select("drawing_id", F.explode(F.array(F.lit("wall_structural"), F.lit("door"), F.lit("window"))).alias("type"))
     counts = count_taint(every.select("drawing_id", "type", F.col("type_epistemic.tag").alias("tag")), ["drawing_id", "type"], groups)
     total = sum_taint(every.where("type = 'wall_structural'").select("drawing_id", F.col("measurement_mm").alias("mm"), F.col("measurement_epistemic.tag").alias("tag")), anchor)
-    return {"walls": wall, "doors": doors, "windows": windows, "spaces": spaces, "anchor": anchor, "objects": every, "refusals": refusals, "counts": counts, "total": total, "violations": violations(every, anchor), "document": document(drawings, every, counts, total, refusals, anchor)}
+    docs = document(drawings, every, counts, total, refusals, anchor)
+    return {"texts": texts, "walls": wall, "doors": doors, "windows": windows, "spaces": spaces, "anchor": anchor, "objects": every, "refusals": refusals, "counts": counts, "total": total, "violations": violations(every, anchor), "aggregate_violations": aggregate_violations(docs), "document": docs}

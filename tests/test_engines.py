@@ -82,7 +82,11 @@ def test_engine(spark):
     assert len(docs) == 5 and found["violations"].isEmpty()
     first = docs["synth_01001"]
     assert [o.object_id for o in first.objects] == [f"obj_{i + 1:04d}" for i in range(len(first.objects))]
-    assert first.aggregates.window_count.epistemic if hasattr(first.aggregates.window_count, "epistemic") else first.aggregates.window_count.tag == "⊬"
+    windows = first.aggregates.window_count
+    assert windows.epistemic.tag == "⊬" and windows.epistemic.basis == windows.warning and windows.value == 2
+    assert first.aggregates.wall_count.epistemic.tag == "⊨" and first.aggregates.wall_count.warning is None and found["aggregate_violations"].isEmpty()
+    again = trust.from_json(trust.as_json(found["document"]).select("json"), found["document"].schema)
+    assert sorted(map(str, again.collect())) == sorted(map(str, docs.values()))
     assert all(r.why.startswith("[door]") or r.why.startswith("[window]") for r in first.refusals) and first.refusals
     assert '"basis":null' in trust.as_json(found["document"]).first().json
     empty = trust.analyse(**{k: v.limit(0) for k, v in vector_gen.generate(spark, 1).items()})
@@ -177,3 +181,35 @@ def test_audit_emitters_write_json(spark, tmp_path):
     assert [r.region_json for r in w.read("refusals_log").collect()] == ["[[10.0,20.0]]"]
     none = audit.success_rate(w.runs()).first()
     assert (none.total, none.ok, none.rate, none.enough) == (0, 0, None, False)
+
+
+def test_aggregates_are_bound_to_the_anchor(spark):
+    agg = "struct<value:double,epistemic:struct<tag:string,evidence:array<struct<source:string,signal:string>>,basis:string,gap:string>,warning:string>"
+    schema = f"drawing_id string, aggregates struct<wall_count:{agg},door_count:{agg},window_count:{agg},measured_wall_length_mm:{agg}>, scale_anchor struct<detected:boolean>"
+    good, bare, none = (1.0, ("⊨", [], None, None), None), (1.0, ("⊬", [], "", None), "w"), (None, ("⊥", [], None, "g"), "w")
+    rows = [("ok", (good, good, good, none), (False,)), ("value", (good, good, good, (12000.0, ("⊥", [], None, "g"), None)), (False,)), ("mark", (good, good, good, (None, ("⊨", [], None, None), None)), (False,)), ("basis", (bare, good, good, good), (True,))]
+    got = {tuple(r) for r in trust.aggregate_violations(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {("value", "measured_wall_length_mm", "value without anchor"), ("mark", "measured_wall_length_mm", "mark without anchor"), ("basis", "wall_count", "basis")}
+
+
+def test_audited_run(spark, tmp_path, monkeypatch):
+    from plumbmark.operators import audited
+
+    w, made = audit.Warehouse(spark, str(tmp_path / "w")), vector_gen.generate(spark, 3)
+    made["texts"] = made["texts"].where("drawing_id <> 'synth_01002'")
+    found = audited.run(w, made)
+    run_of = {r.drawing_id: r.run_id for r in found["runs"].collect()}
+    assert {(r.run_id, r.exit_state) for r in w.runs().collect()} == {(i, "SUCCESS") for i in run_of.values()}
+    own = w.read("stage_events").where(F.col("run_id") == run_of["synth_01001"]).orderBy("event_seq").collect()
+    assert [(e.stage, e.message) for e in own] == [(s, m) for s in audited.STAGES for m in (["starting", "scale_anchor: true", "complete"] if s == "compose" else ["starting", "complete"])]
+    assert own[3].payload_json == '{"lines":10,"contours":2,"walls":5}'
+    fire = w.read("policy_fires").collect()
+    unknown = found["objects"].where("drawing_id = 'synth_01002'").count()
+    assert [(r.run_id, r.policy_name) for r in fire] == [(run_of["synth_01002"], "Measurement_Policy")] and f'"mm_fields_refused":{unknown},' in fire[0].detail_json
+    assert w.read("refusals_log").count() == found["refusals"].count() == 3
+    assert w.counts().agg(F.sum("count")).first()[0] == 3 * found["objects"].count()
+    monkeypatch.setattr(audited.trust, "analyse", lambda **_: (_ for _ in ()).throw(ValueError("boom")))
+    with pytest.raises(ValueError, match="boom"):
+        audited.run(w, made)
+    assert {(r.exit_state, r.error_msg) for r in w.runs().where("exit_state <> 'SUCCESS'").collect()} == {("FAILURE", "ValueError: boom")}
+    assert w.read("stage_events").where("level = 'ERROR'").count() == 3
