@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbmark.plans import audit_queries, corpus_queries, spatial_queries
+from plumbmark.plans import audit_queries, corpus_queries, run_queries, spatial_queries
 
-MODULES = [audit_queries, corpus_queries, spatial_queries]
+MODULES = [audit_queries, corpus_queries, run_queries, spatial_queries]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

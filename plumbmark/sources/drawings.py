@@ -11,7 +11,14 @@ FORMATS = {"png": "png", "jpg": "jpg", "jpeg": "jpg", "pdf": "pdf"}
 
 
 def ingest(spark: SparkSession, path: str, with_content: bool = False) -> DataFrame:
-    """drawing_id, path, source_format, length, error of the files below a path; contents are read only if asked for. Empty files are left out by the reader."""
+    """drawing_id, path, source_format, length, error of the files below a path; contents are read only if asked for. Empty files are left out by the reader.
+
+    A path that isn't there is one row with an error.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not any(c in path for c in "*?[{") and not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        rows = spark.range(1).select(stem(F.lit(path)).alias("drawing_id"), F.lit(path).alias("path"), F.lit(None).cast("string").alias("source_format"), F.lit(None).cast("long").alias("length"), F.lit(f"file not found: {path}").alias("error"))
+        return rows.withColumn("content", F.lit(None).cast("binary")) if with_content else rows
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv]), suffix)
@@ -33,7 +40,8 @@ def provenance(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_provenance(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("source").json(path)
+    """One file a record, below its source, as `provenance` reads them."""
+    rows.write.mode("append").partitionBy("source").option("maxRecordsPerFile", 1).json(path)
 
 
 def write_summary(row: DataFrame, path: str) -> None:

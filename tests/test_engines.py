@@ -213,3 +213,59 @@ def test_audited_run(spark, tmp_path, monkeypatch):
         audited.run(w, made)
     assert {(r.exit_state, r.error_msg) for r in w.runs().where("exit_state <> 'SUCCESS'").collect()} == {("FAILURE", "ValueError: boom")}
     assert w.read("stage_events").where("level = 'ERROR'").count() == 3
+
+
+def test_reports(spark):
+    from plumbmark.operators import reports
+
+    found = trust.analyse(**vector_gen.generate(spark, 1))
+    drawn = reports.draw_commands(found["document"]).orderBy("z").collect()
+    assert [r.z.layer for r in drawn] == sorted(r.z.layer for r in drawn) and drawn[0].color == [200, 0, 0] and {r["shape"] for r in drawn} == {"bbox", "polyline", "polygon"}
+    grid = reports.object_grid(found["objects"]).orderBy("id").first()
+    assert (grid.id, grid.type_tag, grid.measurement_mm == "—") == ("obj_0001", "🟢 ⊢ grounded", False)
+    none = spark.createDataFrame([], "exit_state string")
+    assert tuple(reports.overview(none, none, none).first()) == (0, 0, 0, 0, 0)
+    at = spark.createDataFrame([(["a", "b"],), (["a"],), ([],), (["x", "y", "d"],)], "o array<string>").select(reports.default_index(F.col("o"), "d").alias("at"))
+    assert [r.at for r in at.collect()] == [1, 0, 0, 2]
+
+
+def test_crawl(spark, tmp_path):
+    from plumbmark.operators import crawl
+
+    cases = [(1, "File:A.png", "u1", "cc0"), (2, "File:A.png", "u2", "cc-by"), (3, "C.png", "u3", None), (4, "D.png", None, "cc0"), (5, "E.png", "u5", "cc0"), (6, "F.png", "u1", "cc0"), (7, "G.png", "u7", "cc0"), (8, "H.png", "u8", "cc0")]
+    pick = spark.createDataFrame([(*c, None) for c in cases], "pos int, filename string, url string, license_raw string, source_page_url string")
+    answers = spark.createDataFrame([("u1", 200, "image/png", bytearray(b"a" * 8192)), ("u2", 200, "image/jpeg", bytearray(b"b" * 9000)), ("u7", 200, "", bytearray(b"c")), ("u8", 200, "", bytearray(b"o" * 9000))], "url string, status int, content_type string, body binary")
+    old = answers.where("url = 'u8'").select(F.sha2("body", 256).alias("sha256"))
+    at = [str(tmp_path / n) for n in ("samples", "provenance", "summary")]
+    refused = {r.filename: (r.stage, r.reason) for r in crawl.crawl(pick, answers, *at, history=old).collect()}
+    assert refused == {
+        "C.png": ("license_check", "license could not be mapped (raw: None)"), "D.png": ("url_check", "candidate has no URL"), "E.png": ("download", "HTTP 0"),
+        "F.png": ("dedup", "duplicate sha256 (already in corpus)"), "G.png": ("size_check", "image too small (1 bytes < 8192)"), "H.png": ("dedup", "duplicate sha256 (already in corpus)"),
+    }
+    assert sorted(r.name for r in spark.read.parquet(at[0]).collect()) == ["wm_a.jpg", "wm_a.png"]
+    assert {(r.license, r.original_uri) for r in drawings.provenance(spark, at[1]).collect()} == {("public", "u1"), ("CC-BY", "u2")}
+    assert spark.read.json(at[2]).first().refused_by_dedup == 2
+
+
+def test_primitives(spark, tmp_path):
+    from plumbmark.sources import primitives
+
+    made = vector_gen.generate(spark, 2)
+    primitives.save({k: v for k, v in made.items() if k != "texts"}, str(tmp_path / "p"))
+    back = primitives.load(spark, str(tmp_path / "p"))
+    assert back["lines"].count() == made["lines"].count() and back["texts"].isEmpty()
+    images = spark.createDataFrame([("ok", 2, 60, 3, bytearray(b"x")), ("low", 2, 49, 3, bytearray(b"x")), ("none", 0, 60, 3, None), ("bad", 2, 60, 3, bytearray(b"!"))], "drawing_id string, width int, height int, channels int, data binary")
+
+    def make():
+        def find(width, height, channels, data):
+            if bytes(data) == b"!":
+                raise ValueError("boom")
+            return [(1.0, 2.0, 30.0), (3.0, 4.0, 40.0)]
+
+        return find
+
+    rows = primitives.detect(images, "circles", make, 50).collect()
+    assert [(r.drawing_id, r.circle_idx, r.r) for r in rows if r.diagnostic is None] == [("ok", 0, 30.0), ("ok", 1, 40.0)]
+    assert {r.drawing_id: r.diagnostic for r in rows if r.diagnostic} == {"low": "image too small (h=49<50)", "none": "empty input image", "bad": "ValueError: boom"}
+    lost = drawings.ingest(spark, str(tmp_path / "nowhere")).first()
+    assert lost.drawing_id == "nowhere" and lost.error.startswith("file not found")
