@@ -95,5 +95,5 @@ def commercial_safe(license_: Column) -> Column:
 def register(spark: SparkSession) -> None:
     """The text rules as SQL functions, for those who write SQL; plain expressions, so Catalyst still sees through them."""
     sql = " ".join(f"WHEN {'startswith(k, ' + repr(c) + ')' if c.endswith('-') else 'k = ' + repr(c)} THEN '{m}'" for c, m in LICENSE_RULES)
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION map_license(raw STRING) RETURNS STRING RETURN (SELECT CASE {sql} END FROM (SELECT lower(trim(raw)) AS k))")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION map_license(raw STRING) RETURNS STRING RETURN (SELECT CASE {sql} END FROM (SELECT lower(regexp_replace(raw, '(?U)^\\\\s+|\\\\s+$', '')) AS k))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION strip_tags(html STRING) RETURNS STRING RETURN nullif(trim(regexp_replace(html, '<[^>]+>', '')), '')")

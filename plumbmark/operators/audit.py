@@ -112,8 +112,8 @@ def run_state(log: DataFrame) -> DataFrame:
 
 def latest(rows: DataFrame, keys: list[str], seq: Column) -> DataFrame:
     """The row of largest seq of each key: an upsert of an append-only table. Ties must not occur."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(seq.desc()))
-    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("_latest")).select(*keys, "_latest.*").select(*rows.columns)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -22,18 +22,19 @@ def gate(candidates: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def first_of_hash(rows: DataFrame, history: DataFrame | None = None, order: str = "pos") -> DataFrame:
-    """rows with `stage` = dedup where an earlier row that passed, or the history, has the same sha256."""
-    passed = F.col("stage").isNull()
-    # rows that were refused neither count nor are ranked together: their own hash is salted away
-    key = F.when(passed, F.col("sha256"))
-    nth = F.row_number().over(Window.partitionBy(key, F.when(~passed, F.col(order))).orderBy(order))
-    marked = rows.withColumn("_nth", nth)
+    """rows with `stage` = dedup where an earlier row that passed, or the history, has the same sha256. `order` differs from row to row.
+
+    Hashes are reduced to their first row before the shuffle, so that a very common one is not sorted in one task.
+    """
+    passed = F.col("stage").isNull() & F.col("sha256").isNotNull()
+    firsts = rows.where(passed).groupBy("sha256").agg(F.min(order).alias("_first"))
     if history is not None:
-        marked = marked.join(history.select("sha256").distinct().withColumn("_old", F.lit(True)), "sha256", "left")
+        old = history.select("sha256", F.lit(True).alias("_old")).where("sha256 IS NOT NULL").distinct()
+        firsts = firsts.join(old, "sha256", "left")
     else:
-        marked = marked.withColumn("_old", F.lit(None).cast("boolean"))
-    again = passed & ((F.col("_nth") > 1) | F.coalesce("_old", F.lit(False)))
-    return marked.withColumn("stage", F.when(again, "dedup").otherwise(F.col("stage"))).drop("_nth", "_old")
+        firsts = firsts.withColumn("_old", F.lit(False))
+    again = passed & (F.coalesce("_old", F.lit(False)) | (F.col(order) > F.col("_first")))
+    return rows.join(firsts, "sha256", "left").withColumn("stage", F.when(again, "dedup").otherwise(F.col("stage"))).select(*rows.columns)
 
 
 def counters(gated: DataFrame) -> DataFrame:
@@ -71,6 +72,8 @@ def unique_names(rows: DataFrame, order: str = "pos", taken: DataFrame | None =
     schema = T.StructType([*rows.schema.fields, T.StructField("name", T.StringType())])
 
     def walk(group, old):
+        if group.empty:  # a taken name without rows of its stem
+            return group.assign(name=None)[[f.name for f in schema.fields]].astype(object)
         have, next_of, names = set(old["name"]), {}, []
         group = group.sort_values(order, kind="stable")
         for stem_, ext_ in zip(group["_stem"], group["_ext"], strict=True):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbmark.functions.text import first_filled, strip_tags
+from plumbmark.functions.text import first_filled, strip, strip_tags
 
 _OCR = "struct<rec_texts:array<string>,rec_scores:array<double>,rec_polys:array<array<array<double>>>,dt_polys:array<array<array<double>>>>"
 
@@ -22,7 +22,7 @@ def recognized_texts(rows: DataFrame, json: str = "json") -> DataFrame:
 
 def guard(drawings: DataFrame, texts: DataFrame) -> DataFrame:
     """drawing_id, n_texts, blank, diagnostic: why a drawing has no recognized text."""
-    found = texts.groupBy("drawing_id").agg(F.count("*").alias("n_texts"), F.count_if(F.trim("text") == "").alias("blank"))
+    found = texts.groupBy("drawing_id").agg(F.count("*").alias("n_texts"), F.count_if(strip(F.col("text")) == "").alias("blank"))
     rows = drawings.join(found, "drawing_id", "left").na.fill(0, ["n_texts", "blank"])
     why = F.when(F.col("height") < 50, "image too small").when(F.col("n_texts") == 0, "no text found").when(F.col("blank") > 0, F.format_string("%d blank texts dropped", "blank"))
     return rows.select("drawing_id", "n_texts", "blank", why.alias("diagnostic"))

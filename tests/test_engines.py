@@ -20,6 +20,7 @@ def test_license_and_text(spark):
     got = {r.raw: r.m for r in spark.createDataFrame([(k,) for k in LICENSES], "raw string").select("raw", X.map_license(F.col("raw")).alias("m")).collect()}
     assert got == LICENSES
     X.register(spark)
+    assert spark.sql("SELECT map_license('cc0\\n')").first()[0] == "public"
     assert spark.sql("SELECT map_license('PD-old'), strip_tags('<b> x </b>')").first()[:] == ("public", "x")
     kinds = {"4200": "dimension_text", "12.5": "dimension_text", "거실": "room_label", "Meeting Room": "room_label", "": "other", "***": "other", "9": "other", "123456": "other", "A-1": "other", "x_y": "room_label", " 42": "dimension_text", "٤٢": "dimension_text", None: "other"}
     got = {r.t: r.k for r in spark.createDataFrame([(k,) for k in kinds], "t string").select("t", X.classify_text(F.col("t")).alias("k")).collect()}
@@ -269,3 +270,20 @@ def test_primitives(spark, tmp_path):
     assert {r.drawing_id: r.diagnostic for r in rows if r.diagnostic} == {"low": "image too small (h=49<50)", "none": "empty input image", "bad": "ValueError: boom"}
     lost = drawings.ingest(spark, str(tmp_path / "nowhere")).first()
     assert lost.drawing_id == "nowhere" and lost.error.startswith("file not found")
+
+
+def test_cli_runs_and_crawls(spark, tmp_path, capsys, monkeypatch):
+    from plumbmark.sources import primitives
+
+    monkeypatch.setattr(cli, "build_session", lambda *a: spark)
+    primitives.save(vector_gen.generate(spark, 1), str(tmp_path / "p"))
+    where = ["--warehouse", str(tmp_path / "w")]
+    assert cli.main([*where, "run", str(tmp_path / "p")]) == 0 and "wall_structural" in capsys.readouterr().out
+    assert cli.main([*where, "stats"]) == 0 and "policy_fires" in capsys.readouterr().out
+    spark.createDataFrame([("c", i, "A.png", "u", "cc0", None) for i in (1, 2)], "category string, pos int, filename string, url string, license_raw string, source_page_url string").write.parquet(str(tmp_path / "c"))
+    spark.createDataFrame([("u", 200, "image/png", bytearray(b"a" * 8192))], "url string, status int, content_type string, body binary").write.parquet(str(tmp_path / "r"))
+    crawling = ["crawl", "--candidates", str(tmp_path / "c"), "--responses", str(tmp_path / "r"), "--samples-dir", str(tmp_path / "s"), "--provenance-dir", str(tmp_path / "v"), "--summary", str(tmp_path / "j"), "--categories", "c"]
+    assert cli.main([*crawling, "--dry-run"]) == 0 and not (tmp_path / "s").exists() and "public" in capsys.readouterr().out
+    assert cli.main(crawling) == 0 and capsys.readouterr().out.count("dedup") == 1
+    assert cli.main(crawling) == 0 and capsys.readouterr().out.count("dedup") == 2
+    assert drawings.provenance(spark, str(tmp_path / "v")).count() == 1
