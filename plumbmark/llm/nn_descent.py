@@ -3,8 +3,8 @@
 Equal vectors are one node. Nodes lie in buckets, each a row of packed arrays: ids, unit vectors, neighbours. The graph starts
 with the nearest neighbours within leaves of random projections. A round of NN-descent joins neighbours of
 neighbours: every node sends its vector, rounded to 8 bits, to the nodes that it is linked with in either direction; a
-node compares all vectors that came and sends to each the best others it saw; these are merged into its list. Messages
-are packed by bucket and joined with the buckets; nothing grows with the data but the number of buckets.
+node compares the vectors that came (in random parts of `MEET`, where more came) and sends to each the best others it saw; these are
+merged into its list. Messages are packed by bucket and joined with the buckets; nothing grows with the data but the number of buckets.
 
 A search starts at the query's own node. Each step expands the best nodes of the beam that were not expanded yet: their
 neighbours, in either direction, come back, and are compared with the query where they lie. Last, the cosines of what was
@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbmark.llm.arrow_words import mix
-from plumbmark.llm.scratch import folder, keep
+from plumbmark.llm.scratch import drop, folder, keep
 from plumbmark.session import table
 
 NEIGHBOURS, SAMPLE, TELL = 32, 32, 10
+#: The most vectors that are compared with each other at one node at a time.
+MEET = 512
 #: Rounds end when fewer than this share of the entries of all lists are new, as in the published method.
 CHANGED = 0.001
 TREES, LEAF = 6, 512
@@ -194,7 +196,11 @@ def build(nodes: DataFrame, n: int, d: int, path: str, k: int = NEIGHBOURS) -> t
         x = raw_[:, :d].astype(np.float32) * np.ascontiguousarray(raw_[:, d:]).view(np.float32)
         cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else np.zeros(1, np.int64)
         own, other, sim = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        # what came to a hub is compared in random parts, so that its work grows with what came and not with the square of it
+        order = np.lexsort((mix(b.view(np.uint64)), a))
+        b, x = b[order], x[order]
+        starts = [s for i, j in zip(cuts[:-1], cuts[1:], strict=True) for s in range(i, j, -(-(j - i) // -(-(j - i) // MEET)))]
+        for i, j in zip(starts, [*starts[1:], len(a)], strict=True):
             m = min(TELL, j - i - 1)
             if m < 1:
                 continue
@@ -226,6 +232,7 @@ def search(graph: DataFrame, buckets: int, starts: DataFrame, d: int, path: str,
 
     Both directions of the links are followed. A query's state is a row; messages between queries and nodes are packed by bucket.
     """
+    spark = graph.sparkSession
     state = "query long, vec binary, ids binary, sims binary, done binary, open boolean"
 
     def linked(batches):
@@ -268,6 +275,13 @@ def search(graph: DataFrame, buckets: int, starts: DataFrame, d: int, path: str,
         pairs = np.unique(np.stack([np.repeat(q, size), b[at]], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
         return _split(_bucket_of(np.ascontiguousarray(pairs[:, 1]), buckets), [pairs[:, 0].copy(), pairs[:, 1].copy()], ["query", "node"])
 
+    def pairs_of(batches):
+        """Which queries have candidates in which bucket."""
+        for batch in batches:
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                q = np.unique(np.frombuffer(packed, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), bucket, np.int32)), pa.array(q)], names=["bucket", "query"])
+
     def compared(g: pa.Table, m: pa.Table) -> pa.Table:
         out = {"query": [], "ids": [], "sims": []}
         if len(g) and len(m):
@@ -304,12 +318,14 @@ def search(graph: DataFrame, buckets: int, starts: DataFrame, d: int, path: str,
     while not own.isEmpty():
         i += 1
         ask = own.select("query", "ids", "done").mapInArrow(asked, "bucket int, query binary, node binary")
-        reply = both.groupBy("bucket").cogroup(ask.groupBy("bucket")).applyInArrow(lambda x, y: answered(x, y), "bucket int, query binary, node binary")
+        reply = keep(both.groupBy("bucket").cogroup(ask.groupBy("bucket")).applyInArrow(lambda x, y: answered(x, y), "bucket int, query binary, node binary"), path, f"reply-{i}")
         # a query's vector goes once to each bucket that has a candidate
-        vectors = own.select(F.col("query").alias("own"), "vec", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
+        wanted = reply.select("bucket", "query").mapInArrow(pairs_of, "bucket int, query long").distinct()
+        vectors = wanted.join(own.select("query", "vec"), "query").select("bucket", F.col("query").alias("own"), "vec")
         work = reply.select("bucket", "query", "node", F.lit(None).cast("long").alias("own"), F.lit(None).cast("binary").alias("vec")).unionByName(vectors.select("bucket", F.lit(None).cast("binary").alias("query"), F.lit(None).cast("binary").alias("node"), "own", "vec"))
         seen = graph.select("bucket", "ids", "vecs").groupBy("bucket").cogroup(work.groupBy("bucket")).applyInArrow(lambda x, y: compared(x, y), "query long, ids binary, sims binary")
         own = keep(own.groupBy("query").cogroup(seen.groupBy("query")).applyInArrow(lambda x, y: absorbed(x, y), state), path, f"beam-{i}")
+        drop(spark, path, f"reply-{i}")
         ended.append(own.where("NOT open"))
         own = own.where("open")
 
