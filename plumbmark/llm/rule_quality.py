@@ -221,9 +221,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", may_train:
     return fit(x, y, tuple(min(1.0, max((y == v).sum(), 1) / max(totals.get(v, 1), 1)) for v in (0, 1)))
 
 
-def score(docs: DataFrame, ensemble: Ensemble) -> DataFrame:
-    """docs with the text replaced by its statistics and `quality`, the score."""
-    return with_statistics(docs).withColumn("quality", ensemble.column())
+def score(docs: DataFrame, ensemble: Ensemble, name: str = "quality") -> DataFrame:
+    """docs without the text, with the score in a column called name, which docs doesn't have. Other columns stay, whatever their names."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return with_statistics(docs.select("text", others.alias("_others"))).select("_others.*", ensemble.column().alias(name))
 
 
 def op1_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
