@@ -131,6 +131,20 @@ def test_neighbours_until_done(spark):
     assert graph.agg(F.sum("fresh")).first()[0] < nn_descent.CHANGED * len(x) * nn_descent.NEIGHBOURS
 
 
+def test_neighbours_work(spark):
+    """What is known or doesn't enter a list makes no work, and only what can be among the nearest is compared exactly."""
+    own, other, sim = np.array([0, 0, 0, 1]), np.array([7, 8, 7, 9]), np.array([0.5, 0.9, 0.6, 0.1], np.float32)
+    ids, sims, new = nn_descent._merge(own, other, sim, np.array([True, False, False, False]), 2, 2)
+    assert ids.tolist() == [[8, 7], [9, -1]] and np.allclose(sims, [[0.9, 0.6], [0.1, -2]]) and new.tolist() == [[1, 0], [1, 0]]
+    n, k, path = 12, 2, scratch.folder(spark)
+    x = np.stack([np.cos(np.arange(n) / 8), np.sin(np.arange(n) / 8)], axis=1).astype(np.float32)
+    chain = np.array([[i - 1, i + 1 if i + 1 < n else -1] for i in range(n)])
+    graph = spark.createDataFrame([(0, np.arange(n).tobytes(), x.tobytes(), chain.tobytes(), np.zeros((n, k), np.float32).tobytes())], "bucket int, ids binary, vecs binary, nbrs binary, sims binary")
+    starts = spark.createDataFrame([(5, x[-1].tobytes(), n - 1), (6, x[0].tobytes(), 0)], "query long, vec binary, node long")
+    found = nn_descent.search(graph, 1, starts, 2, path, k=k, top=3).collect()
+    assert {(r.query, r.node) for r in found} == {(5, n - 1), (5, n - 2), (5, n - 3), (6, 0), (6, 1), (6, 2)}
+
+
 def test_decontamination(spark, odd):
     items = spark.createDataFrame([(1, "One two three four five six seven eight nine ten eleven"), (2, "short ITEM"), (2, "short item"), (3, None), (4, "!!"), (None, "null id item"), (5, "short item of")], "item_id long, text string")
     texts = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(20, "x short item y short item"), (21, "one two three four five six seven eight nine ten eleven twelve"), (22, "one two three four five six seven eight nine"), (23, "short-item of")], "doc_id long, text string"))
