@@ -198,8 +198,7 @@ def analyse(drawings: DataFrame, lines: DataFrame, short_segs: DataFrame, circle
     slack = F.col("r") + p.door_slack
     doors = spatial.near_wall(circles, wall, "cx", "cy", slack)
     lost = spatial.far_from_walls(circles, wall, "cx", "cy", slack)
-    edges = spatial.window_edges(short_segs, p)
-    matched = spatial.match_windows(edges, wall, p).join(edges.select("drawing_id", "seg_i", "seg_j", "i", "j"), ["drawing_id", "seg_i", "seg_j"])
+    matched = spatial.windows(short_segs, wall, p)
     ends = F.array(*[F.struct(F.col(f"{s}.x{k}").alias("x"), F.col(f"{s}.y{k}").alias("y")) for s in "ij" for k in "12"])
     span = F.sqrt(sum((((F.col(f"i.{c}2") + F.col(f"j.{c}2")) - (F.col(f"i.{c}1") + F.col(f"j.{c}1"))) / 2) ** 2 for c in "xy"))
     matched = settle(matched.withColumn("box", G.box(ends)).withColumn("span", span), folder, "windows")
