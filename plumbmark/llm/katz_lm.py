@@ -49,6 +49,8 @@ END = 0x0123456789ABCDEF
 NONE, START, UNKNOWN, WORD = 0, 1, 2, 3
 #: Of a cell: its block, distinct words and their counts, three places among these of each token, documents, tokens of each, which are held out.
 CELL = ("block", "words", "n", "before", "first", "second", "docs", "runs", "held")
+#: Distinct trigrams that are scored at a time.
+PART = 1 << 17
 #: Tokens of a bucket, about; bytes of text and rows of a block; parts in which buckets are sent.
 BUCKET, BLOCK_BYTES, BLOCK_ROWS, WAVES = 1_500_000, 12 << 20, 30_000, 4
 
@@ -83,7 +85,10 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], names=["word", "n"])
                     words, counts = words[:0], counts[:0]
         words, counts = merge()
+        parts.clear()
         yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], names=["word", "n"])
+        del words, counts
+        release()
 
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -277,16 +282,38 @@ def _cells(model: Model, wave: int):
     return run
 
 
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the place of each key among them: np.unique in less memory."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = _changes(keys)
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(first, dtype=np.int32) - 1
+    return keys[first], place
+
+
+def _changes(keys: np.ndarray) -> np.ndarray:
+    """Which of sorted keys differ from the one before."""
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return first
+
+
 class Bucket:
-    """The trigrams of a bucket: counts of the distinct ones (by history, then word), and which of them each token is."""
+    """The trigrams of a bucket: counts of the distinct ones (by history, then word), and which of them each token is.
+
+    What there is a value a trigram of is held in four bytes, as places among the bucket's words (word, with counts n).
+    """
 
     def __init__(self, cells: dict[str, list[bytes]], model: Model, split_only: bool = False):
         words = [np.cumsum(_unpack(x)) for x in cells["words"]]
-        w, at = np.unique(np.concatenate(words), return_inverse=True)
+        w, at = _ranked(np.concatenate(words))
         n, places = np.zeros(len(w), np.int64), np.split(at, np.cumsum([len(x) for x in words])[:-1])
         for place, x in zip(places, cells["n"], strict=True):
             n[place] = _unpack(x)
-        u, v, x = (np.concatenate([place[_unpack(c)] for place, c in zip(places, cells[name], strict=True)]).astype(np.int32) for name in ("before", "first", "second"))
+        del words, at
+        u, v, x = (np.concatenate([place[_unpack(c)] for place, c in zip(places, cells[name], strict=True)]) for name in ("before", "first", "second"))
+        del places
         self.cells = [int(_unpack(c).sum()) for c in cells["runs"]]
         train = np.concatenate([np.repeat(_unpack(h) == 0, _unpack(r)) for h, r in zip(cells["held"], cells["runs"], strict=True)])
         if split_only:
@@ -296,41 +323,51 @@ class Bucket:
         history = u.astype(np.int64) * k + v
         del u, v
         if k < 1 << 20:
-            gram, self.at = np.unique(history * k + x, return_inverse=True)
-            history, x = gram // k, gram % k
+            history *= k
+            history += x
+            del x
+            gram, self.at = _ranked(history)
+            history = gram // k
         else:
-            known, place = np.unique(history, return_inverse=True)
-            gram, self.at = np.unique(place * k + x, return_inverse=True)
-            history, x = known[gram // k], gram % k
-        u, v = history // k, history % k
-        self.at = self.at.astype(np.int32)
-        self.three = np.bincount(self.at, train, len(gram)).astype(np.int64)
-        self.whole = w[u] != NONE  # a text's first word has no trigram
-        self.pairs, at = np.unique(v * k + x, return_inverse=True)
-        self.two_of = np.bincount(at, self.three, len(self.pairs)).astype(np.int64)
+            known, place = _ranked(history)
+            history = place.astype(np.int64) * k + x
+            del place, x
+            gram, self.at = _ranked(history)
+            history = known[gram // k]
+            del known
+        gram %= k
+        self.word, self.n, self.x = w, n, gram.astype(np.int32)
+        del gram
+        first = _changes(history)
+        self.new, self.of_history = np.flatnonzero(first), np.cumsum(first, dtype=np.int32) - 1
+        u, self.v = (history // k).astype(np.int32), (history % k).astype(np.int32)
+        del history, first
+        self.whole = (w != NONE)[u]  # a text's first word has no trigram
+        self.names = _hash(w[u[self.new]], w[self.v[self.new]])
+        del u
+        self.three = np.bincount(self.at, train, len(self.x)).astype(np.int32)
+        del train
+        pairs, at = _ranked(self.v.astype(np.int64) * k + self.x)
+        self.two_of = np.bincount(at, self.three, len(pairs)).astype(np.int32)
         self.two = self.two_of[at]
+        del at
         self.three[~self.whole] = 0
-        self.v, self.n_first, self.n_second, self.history = w[v], n[v], n[x], history
-        self.names = _hash(w[u], w[v])
-        of, last = self.pairs // k, self.pairs % k
-        self.of_pair, self.n_of_pair, self.n_last = w[of], n[of], n[last]
-        self.split = model.share(self.n_first) > 1
+        self.of, self.last = (pairs // k).astype(np.int32), (pairs % k).astype(np.int32)
 
     def words_seen(self, model: Model):
-        """(histories of one word, took, mass, split) over the pairs seen."""
-        h, first, at = np.unique(self.of_pair, return_index=True, return_inverse=True)
+        """(histories of one word, took, mass) over the pairs seen."""
+        first = _changes(self.of)
+        at, h = np.cumsum(first, dtype=np.int32) - 1, self.word[self.of[first]]
         took = np.bincount(at, model.discounted(2, self.two_of), len(h))
-        mass = np.bincount(at, np.where(self.two_of > 0, model.unigram(self.n_last), 0.0), len(h))
-        return h, took, mass, model.share(self.n_of_pair[first]) > 1
+        mass = np.bincount(at, np.where(self.two_of > 0, model.unigram(self.n)[self.last], 0.0), len(h))
+        return h, took, mass
 
     def pairs_seen(self, model: Model):
-        """(names of the histories of two words, where each trigram's is, n, took, mass, split) over the trigrams seen."""
-        new = np.flatnonzero(np.concatenate([[True], self.history[1:] != self.history[:-1]])) if len(self.history) else np.zeros(0, np.int64)
-        at = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(self.history))))
-        n = np.bincount(at, self.three, len(new))
-        took = np.bincount(at, model.discounted(3, self.three), len(new))
-        mass = np.bincount(at, np.where(self.three > 0, model.discounted(2, self.two) / (self.n_first + 1.0), 0.0), len(new))
-        return self.names[new], at, n, took, mass, self.split[new]
+        """(names of the histories of two words, n, took, mass) over the trigrams seen; of_history says where each trigram's is."""
+        n = np.bincount(self.of_history, self.three, len(self.new))
+        took = np.bincount(self.of_history, model.discounted(3, self.three), len(self.new))
+        mass = np.bincount(self.of_history, np.where(self.three > 0, model.discounted(2, self.two) / (self.n[self.v] + 1.0), 0.0), len(self.new))
+        return self.names, n, took, mass
 
 
 GRAMS = "bucket int, " + ", ".join(f"{c} array<binary>" for c in CELL) + ", seen array<long>"
@@ -344,6 +381,8 @@ def _packed(model: Model):
         cells = {c: t[c].to_pylist() for c in CELL}
         b = Bucket(cells, model)
         seen = np.concatenate([np.bincount(np.minimum(x, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2] for x in (b.two_of, b.three)])
+        del b
+        release()
         return pa.table({"bucket": t["bucket"].slice(0, 1), **{c: pa.array([v], pa.list_(pa.binary())) for c, v in cells.items()}, "seen": pa.array([seen.tolist()], pa.list_(pa.int64()))})
 
     return run
@@ -363,8 +402,9 @@ def _split_histories(grams: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cells in (r for batch in batches for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
             b = Bucket(cells, model, split_only=True)
-            h, took, mass, _ = b.words_seen(model)
-            h2, _, n2, took2, mass2, _ = b.pairs_seen(model)
+            h, took, mass = b.words_seen(model)
+            h2, n2, took2, mass2 = b.pairs_seen(model)
+            del b
             for pair, cols, use in ((False, (h, np.zeros(len(h)), took, mass), took > 0), (True, (h2, n2, took2, mass2), np.ones(len(h2), bool))):
                 k = int(use.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, cells["bucket"], np.int32)), pa.array(np.full(k, pair)), *[pa.array(x[use].astype(t)) for x, t in zip(cols, (np.int64, np.float64, np.float64, np.float64), strict=True)]], names=names)
@@ -376,36 +416,51 @@ def _log_alpha(took, n, mass):
     return np.log10(np.maximum((1 - took / (n + 1.0)) / np.maximum(1 - mass, 1e-12), 1e-300))
 
 
+def _token_scores(b: Bucket, split: pa.Table, model: Model) -> np.ndarray:
+    """The score of each distinct trigram, made in parts so that no more than a few values a trigram are held."""
+    h, took, mass = b.words_seen(model)
+    for word, known in model.hot.items():
+        i = np.searchsorted(h, word)
+        if i < len(h) and h[i] == word:
+            took[i], mass[i] = known
+    of_word = np.minimum(np.searchsorted(h, b.word), max(len(h) - 1, 0)).astype(np.int32)
+    low = _log_alpha(took[of_word], b.n, mass[of_word]) if len(h) else np.zeros(len(b.word))  # of words that are histories
+    last = np.log10(model.unigram(b.n))
+    names, n, took, mass = b.pairs_seen(model)
+    if len(split):
+        order = np.argsort(names)
+        own = order[np.searchsorted(names, split["history"].to_numpy(), sorter=order)]
+        n[own], took[own], mass[own] = (split[c].to_numpy() for c in ("n", "took", "mass"))
+    score = np.empty(len(b.x))
+    for i in range(0, len(score), PART):
+        p = slice(i, i + PART)
+        two, three, v, at = b.two[p], b.three[p], b.v[p], b.of_history[p]
+        mid = np.where(two > 0, np.log10(np.where(two > 0, model.discounted(2, two) / (b.n[v] + 1.0), 1.0)), low[v] + last[b.x[p]])
+        top = np.log10(np.where(three > 0, model.discounted(3, three) / (n[at] + 1.0), 1.0))
+        score[p] = np.where(three > 0, top, np.where(b.whole[p], _log_alpha(took[at], n[at], mass[at]), 0.0) + mid)
+    return score
+
+
 def _scores(model: Model):
     """block, docs, score: the sums of a bucket for each document of each block."""
 
+    def of(cells: dict[str, list[bytes]], split: pa.Table) -> list[bytes]:
+        b = Bucket(cells, model)
+        score, lo, sums = _token_scores(b, split, model), 0, []
+        for runs, size in zip(cells["runs"], b.cells, strict=True):
+            runs = _unpack(runs)
+            sums.append(np.add.reduceat(score[b.at[lo : lo + size]], np.cumsum(runs) - runs).tobytes())
+            lo += size
+        return sums
+
     def run(t: pa.Table, split: pa.Table) -> pa.Table:
         release()
         blocks, docs_of, sums = [], [], []
         for cells in t.select([*CELL]).to_pylist():
-            b = Bucket(cells, model)
-            h, took, mass, _ = b.words_seen(model)
-            at = np.searchsorted(h, b.v)
-            for word, known in model.hot.items():
-                i = np.searchsorted(h, word)
-                if i < len(h) and h[i] == word:
-                    took[i], mass[i] = known
-            low = _log_alpha(took[at], b.n_first, mass[at]) + np.log10(model.unigram(b.n_second))
-            mid = np.where(b.two > 0, np.log10(np.where(b.two > 0, model.discounted(2, b.two) / (b.n_first + 1.0), 1.0)), low)
-            h, at, n, took, mass, _ = b.pairs_seen(model)
-            if len(split):
-                order = np.argsort(h)
-                own = order[np.searchsorted(h, split["history"].to_numpy(), sorter=order)]
-                n[own], took[own], mass[own] = (split[c].to_numpy() for c in ("n", "took", "mass"))
-            top = np.log10(np.where(b.three > 0, model.discounted(3, b.three) / (n[at] + 1.0), 1.0))
-            score = np.where(b.three > 0, top, np.where(b.whole, _log_alpha(took, n, mass)[at], 0.0) + mid)
-            lo = 0
-            for block, docs, runs, size in zip(cells["block"], cells["docs"], cells["runs"], b.cells, strict=True):
-                runs = _unpack(runs)
-                blocks.append(block)
-                docs_of.append(docs)
-                sums.append(np.add.reduceat(score[b.at[lo : lo + size]], np.cumsum(runs) - runs).tobytes())
-                lo += size
+            blocks += cells["block"]
+            docs_of += cells["docs"]
+            sums += of(cells, split)
+            release()
         return pa.table({"block": pa.array(blocks, pa.binary()), "docs": pa.array(docs_of, pa.binary()), "score": pa.array(sums, pa.binary())})
 
     return run

@@ -131,6 +131,32 @@ def test_neighbours_until_done(spark):
     assert graph.agg(F.sum("fresh")).first()[0] < nn_descent.CHANGED * len(x) * nn_descent.NEIGHBOURS
 
 
+def test_katz_bucket_memory():
+    """A bucket is scored in well below 100 bytes a token, besides its cells."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, cells, tokens = np.random.default_rng(1), {c: [] for c in katz_lm.CELL}, 20_000
+    words, counts, runs = np.sort(rng.choice(1 << 30, 50_000, replace=False)) + katz_lm.WORD, rng.integers(1, 50, 50_000), np.full(200, 100)
+    for i in range(20):
+        drawn = np.minimum((rng.pareto(0.7, (3, tokens)) * 30).astype(np.int64), len(words) - 1)
+        used = np.unique(drawn)
+        values = (np.diff(words[used], prepend=0), counts[used], *np.searchsorted(used, drawn), np.ones(200, int), runs, np.zeros(200, bool))
+        for c, x in zip(katz_lm.CELL, (bytes([i]), *map(katz_lm._pack, values)), strict=True):
+            cells[c].append(x)
+    model = katz_lm.Model(30_000_000, 50_000, 80_000, 20, [katz_lm.discounts({r: 100 // r for r in range(1, 7)})] * 3, {}, 1e-6)
+    bucket = pa.table({c: pa.array([v], pa.list_(pa.binary())) for c, v in cells.items()})
+    none = pa.table({c: pa.array([], k) for c, k in (("history", pa.int64()), ("n", pa.float64()), ("took", pa.float64()), ("mass", pa.float64()))})
+    tracemalloc.start()
+    try:
+        found = katz_lm._scores(model)(bucket, none)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 20 and peak < 90 * 20 * tokens
+
+
 def test_neighbours_work(spark):
     """What is known or doesn't enter a list makes no work, and only what can be among the nearest is compared exactly."""
     own, other, sim = np.array([0, 0, 0, 1]), np.array([7, 8, 7, 9]), np.array([0.5, 0.9, 0.6, 0.1], np.float32)
